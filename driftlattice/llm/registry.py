@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from driftlattice.llm import langid
 from driftlattice.llm.licenses import license_scan
 from driftlattice.llm.mixing import STEP, WEIGHTS, mix
 from driftlattice.llm.ogg import media_columns
+from driftlattice.llm.pieces import encode_documents
 from driftlattice.llm.quality import STOP_WORDS, quality_rules
-from driftlattice.llm.textbuf import read_table
+from driftlattice.llm.textbuf import held_out, read_table
+from driftlattice.llm.toxicity import toxicity_scores
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +20,22 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    df = toxicity_scores(docs, labels, ~held_out(F.col("doc_id")))
+    return df.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    df = langid.identify(docs, langid.fit(docs, ~held_out(F.col("doc_id"))))
+    return df.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -89,6 +109,9 @@ FROM p2 JOIN h2 USING (rank, shard) LEFT JOIN e USING (k)
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_toxicity": op2_toxicity,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op7_language_id": op7_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op9_media_columns": op9_media_columns,
     "op10_mixing": op10_mixing,
