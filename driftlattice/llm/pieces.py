@@ -18,6 +18,7 @@ byte pieces. The model's path is a parameter.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -31,7 +32,11 @@ from driftlattice.llm.textbuf import chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Spans between places that no piece of a vocabulary crosses: before spaces, or there and between Latin letters and all else.
 SPANS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+FINE_SPANS = re.compile(f"{SPACE}*[{LATIN}]+|{SPACE}*[^{LATIN}{SPACE}]+|{SPACE}+")
+CROSSES = re.compile(f"[{LATIN}][^{LATIN}{SPACE}]|[^{LATIN}{SPACE}][{LATIN}]")
 KEPT_SPANS, KEPT_PAIRS = 1_000_000, 1_000_000
 
 
@@ -65,7 +70,9 @@ class Encoder:
         self.names = [sp.id_to_piece(i) for i in range(n)]
         self.whole: dict[str, bool] = {}
         self.spans: dict[str, tuple[int, ...]] = {}
-        self.split = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
+        split = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
+        fine = split and not any(map(CROSSES.search, self.ids))
+        self.cut = FINE_SPANS.findall if fine else SPANS.findall if split else lambda text: [text]
 
     def merged(self, text: str) -> list[str]:
         """The BPE merges of a short text: the best-scored pair of neighbours first, the leftmost of equals."""
@@ -224,11 +231,14 @@ class Encoder:
             return []
         text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
         kept = self.spans
-        return list(chain.from_iterable(kept.get(s) or self.span(s) for s in (SPANS.findall(text) if self.split else [text])))
+        return list(chain.from_iterable(kept.get(s) or self.span(s) for s in self.cut(text)))
 
-    def decode(self, ids) -> str:
+    def decoded(self, ids) -> bytes:
         raw = b"".join(map(self.texts.__getitem__, ids))
-        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return raw[1:] if self.prefix and raw[:1] == b" " else raw
+
+    def decode(self, ids) -> str:
+        return self.decoded(ids).decode("utf-8", "replace")
 
 
 @lru_cache(2)
@@ -243,14 +253,14 @@ def encode_documents(df: DataFrame, text: str = "text", path: str = MODEL) -> Da
         e = encoder(path)
         for b in batches:
             for i, j, data, offs in chunks(b.column(1), 2 << 20):
-                ids, sizes, same = [], [0], []
+                ids, sizes, same = array("i"), [0], []
                 for p, q in zip(offs, offs[1:], strict=False):
-                    t = data[p:q].tobytes().decode()
-                    own = e.encode(t)
-                    same.append(e.decode(own) == t)
-                    ids.append(np.fromiter(own, np.int32, len(own)))
-                    sizes.append(sizes[-1] + len(own))
-                values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+                    raw = data[p:q].tobytes()
+                    own = e.encode(raw.decode())
+                    same.append(e.decoded(own) == raw)
+                    ids.extend(own)
+                    sizes.append(len(ids))
+                values = pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)])
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(sizes), pa.int64()), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_ids", "ids", "round_trip"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlattice.llm import langid
+from driftlattice.llm import langid, warc
 from driftlattice.llm.licenses import license_scan
 from driftlattice.llm.mixing import STEP, WEIGHTS, mix
 from driftlattice.llm.ogg import media_columns
@@ -41,6 +41,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = warc.read_archive(spark, warc.archive(read_table(spark, sf_dir, "pages")))
+    return df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(read_table(spark, sf_dir, "documents"))
 
@@ -107,13 +112,24 @@ SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN least(whole *
 FROM p2 JOIN h2 USING (rank, shard) LEFT JOIN e USING (k)
 """
 
+#: RFC 4648 base 32 of a SHA-1: its 160 bits, five at a time.
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+b AS (SELECT *, list_reduce(list_transform(range(0, 5), lambda k: (lpad(bin(('0x' || x[k * 8 + 1:k * 8 + 8])::BIGINT), 32, '0'))), lambda a, c: a || c) AS bits FROM d)
+SELECT page_id, payload_bytes,
+  list_reduce(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[list_reduce(list_transform(range(1, 6), lambda i: bits[k * 5 + i]::INTEGER), lambda a, c: 2 * a + c) + 1]), lambda a, c: a || c) AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to FROM b
+"""
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_language_id": op7_language_id,
     "op6_quality_rules": op6_quality_rules,
+    "op8_warc": op8_warc,
     "op9_media_columns": op9_media_columns,
     "op10_mixing": op10_mixing,
 }
-SQL = {"op6_quality_rules": OP6_SQL, "op10_mixing": OP10_SQL}
+SQL = {"op8_warc": OP8_SQL, "op6_quality_rules": OP6_SQL, "op10_mixing": OP10_SQL}
