@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftlattice.llm import langid, warc
 from driftlattice.llm.licenses import license_scan
 from driftlattice.llm.mixing import STEP, WEIGHTS, mix
+from driftlattice.llm.neardup import near_duplicates
 from driftlattice.llm.ogg import media_columns
 from driftlattice.llm.pieces import encode_documents
 from driftlattice.llm.quality import STOP_WORDS, quality_rules
@@ -26,6 +27,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"))
 
@@ -125,6 +130,7 @@ SELECT page_id, payload_bytes,
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_language_id": op7_language_id,
     "op6_quality_rules": op6_quality_rules,

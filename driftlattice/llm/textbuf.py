@@ -71,3 +71,8 @@ def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True for the rows that nothing may learn from: crc32 of doc_id as text, modulo 5, is 0. A null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Arrow batches of rows with whole texts stay small, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
