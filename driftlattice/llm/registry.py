@@ -12,6 +12,7 @@ from driftlattice.llm.neardup import near_duplicates
 from driftlattice.llm.ogg import media_columns
 from driftlattice.llm.pieces import encode_documents
 from driftlattice.llm.quality import STOP_WORDS, quality_rules
+from driftlattice.llm.suffixdedup import dedup
 from driftlattice.llm.textbuf import held_out, read_table
 from driftlattice.llm.toxicity import toxicity_scores
 
@@ -27,6 +28,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -130,6 +135,7 @@ SELECT page_id, payload_bytes,
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_language_id": op7_language_id,
