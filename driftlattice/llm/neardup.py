@@ -267,3 +267,10 @@ def near_duplicates(df: DataFrame, text: str = "text", threshold: float = 0.8, a
     known = of.join(ends, "node")
     out = members_of.join(known, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(df: DataFrame, **options) -> DataFrame:
+    """df without near copies: of each class the row with the smallest doc_id. Rows with a null doc_id all stay."""
+    classes = near_duplicates(df, **options).filter("doc_id = class_id").select(F.col("doc_id").alias("__kept"))
+    known = df.join(classes, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return known.union(df.filter("doc_id IS NULL"))

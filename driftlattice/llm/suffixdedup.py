@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from driftlattice.llm.textbuf import bounded_batches, checkpointed, chunks, stored
 
@@ -206,7 +207,8 @@ def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_te
     """doc_id and the counts of KEEPS for every row, in any order; with_text adds the text kept, at whole characters."""
     spark = df.sparkSession
     bounded_batches(spark)
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rest = [c for c in df.columns if c.lower() not in ("doc_id", text.lower())] if with_text else []
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"__rest{k}") for k, c in enumerate(rest)])
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n_groups = max(1, -(-total // group_bytes))
     docs = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_groups)).cast("int"))
@@ -285,14 +287,28 @@ def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_te
                 kept = (kept[~x] if n else kept).tobytes()
                 out.append((i + r, q - p, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
         at, *columns = [*zip(*out, strict=True)] or [()] * 6
+        at = pa.array(at, pa.int64())
         kinds = [pa.int64()] * 3 + [pa.string()] * 2
-        columns = [group.doc_id.take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
-        return pa.table(columns[: 6 if with_text else 5], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"][: 6 if with_text else 5])
+        columns = [group.doc_id.take(at), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))][: 6 if with_text else 5]
+        columns += [left.column(f"__rest{k}").take(at) for k in range(len(rest))]
+        return pa.table(columns, names=[f.name for f in out_schema.fields])
 
+    out_schema = StructType.fromDDL(KEEPS + ", text string" * with_text)
+    for k in range(len(rest)):
+        out_schema.add(StructField(f"__rest{k}", docs.schema[f"__rest{k}"].dataType))
     dealt = docs.repartition(tasks, "g")
     offered = dealt.groupBy("g").applyInArrow(offer, BLOBS)
     shared = stored(offered.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(share, BLOBS))
     sent = dealt.groupBy("g").cogroup(shared.repartition(tasks, "g").groupBy("g")).applyInArrow(send, BLOBS)
     found = checkpointed(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(index, BLOBS))
     both = shared.union(found).repartition(tasks, "g")
-    return dealt.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(remove, KEEPS + ", text string" * with_text)
+    return dealt.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(remove, out_schema)
+
+
+def without_repeats(df: DataFrame, **options) -> DataFrame:
+    """df with the text that is left; rows of which nothing is left go, rows that were empty stay."""
+    names = df.columns
+    rest = [c for c in names if c.lower() not in ("doc_id", "text")]
+    out = dedup(df, with_text=True, **options).filter("n_removed < n_bytes OR n_bytes = 0")
+    named = {c: F.col(f"__rest{k}") for k, c in enumerate(rest)}
+    return out.select(*[named.get(c, F.col(c.lower() if c.lower() in ("doc_id", "text") else c)).alias(c) for c in names])

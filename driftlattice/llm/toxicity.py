@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from driftlattice.llm.textbuf import chunks
 
@@ -244,8 +245,8 @@ def evidence(words: set[str], weights: dict[str, float]) -> float:
     return sum(max((weights.get(f, 0.0) for f in features(w)), default=0.0) for w in words)
 
 
-def score_documents(df: DataFrame, cost: np.ndarray, model, text: str = "text") -> DataFrame:
-    """doc_id and score, between 0 and 1."""
+def score_documents(df: DataFrame, cost: np.ndarray, model, text: str = "text", name: str = "score", passing: bool = False) -> DataFrame:
+    """doc_id and its score between 0 and 1; with `passing`, all columns of df and the score (under `name`)."""
     bc = df.sparkSession.sparkContext.broadcast((cost, model))
 
     def run(batches):
@@ -253,7 +254,7 @@ def score_documents(df: DataFrame, cost: np.ndarray, model, text: str = "text")
         r, known = Restorer(cost), {}
         for b in batches:
             scores = []
-            for _, t, s in texts(b.column(1)):
+            for _, t, s in texts(b.column(0)):
                 total = 0.0
                 for w in r.words(t, s):
                     value = known.get(w)
@@ -263,14 +264,28 @@ def score_documents(df: DataFrame, cost: np.ndarray, model, text: str = "text")
                         value = known[w] = evidence({w}, weights)
                     total += value
                 scores.append(1 / (1 + math.exp(-slope * (min(total, 20.0) - offset))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64())], schema=pa.schema([*list(b.schema)[1:], pa.field(name, pa.float64())]))
 
-    return df.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    rest = [F.col(f"`{c}`") for c in df.columns] if passing else [F.col("doc_id").cast("long").alias("doc_id")]
+    df = df.select(F.col(text).cast("string").alias("__scored"), *rest)
+    return df.mapInArrow(run, StructType([*df.schema.fields[1:], StructField(name, DoubleType())]))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column, **options) -> DataFrame:
-    """doc_id and score of every document; labels(doc_id, toxic) are used where `learn` holds."""
+def learned(docs: DataFrame, labels: DataFrame, learn: Column, **options):
+    """The character model of all docs, and what labels(doc_id, toxic) teach where `learn` holds."""
     cost = character_model(docs)
     known = labels.filter(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("toxic"))
     labelled = docs.filter(learn).select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id"))
-    return score_documents(docs, cost, fit(labelled.select("doc_id", "text", "toxic"), cost, **options))
+    return cost, fit(labelled.select("doc_id", "text", "toxic"), cost, **options)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column, **options) -> DataFrame:
+    """doc_id and score of every document."""
+    return score_documents(docs, *learned(docs, labels, learn, **options))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of docs that score below the threshold, in one pass over them."""
+    names = docs.columns
+    scored = score_documents(docs, *learned(docs, labels, learn, **options), name="__toxicity", passing=True)
+    return scored.filter(F.col("__toxicity") < threshold).select(*[F.col(f"`{c}`") for c in names])
