@@ -24,11 +24,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from driftlattice.llm.textbuf import bounded_batches, checkpointed, chunks, stored
+from driftlattice.llm.textbuf import bounded_batches, chunks, stored
 
 LENGTH, ANCHOR = 50, 22
 OFFSETS = LENGTH - ANCHOR + 1
@@ -85,6 +87,19 @@ def contexts(data: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndar
     return out
 
 
+def packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(table: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The documents of a group; its packets in the order of their bytes, so always in the same order."""
+    packets = sorted(table.column("packet").to_pylist())
+    return pa.concat_tables([schema.empty_table(), *(pa.ipc.open_stream(x).read_all().cast(schema) for x in packets)])
+
+
 class Group:
     """The documents of one group: text, doc_id."""
 
@@ -92,18 +107,18 @@ class Group:
         ids = table.column("doc_id").combine_chunks()
         self.ids = np.array(ids.fill_null(LAST_ID).to_numpy(zero_copy_only=False), np.int64)
         self.doc_id, self.text = ids, table.column("text").combine_chunks()
-        self.text = self.text.combine_chunks() if isinstance(self.text, pa.ChunkedArray) else self.text
 
     def parts(self):
         for i, j, data, offs in chunks(self.text, CHUNK):
             yield i, j, data, offs, anchors(data, offs)
 
-    def entries(self, shared: np.ndarray):
+    def entries(self, shared: np.ndarray, n_buckets: int):
         """(entry arrays in a fixed order; for each part the entry of each shared anchor, its row and place)."""
         found, parts = [], []
         for i, _, data, _, (row, place, h, low, high) in self.parts():
-            k = np.searchsorted(shared, h)
-            keep = shared[np.minimum(k, len(shared) - 1)] == h if len(shared) else np.zeros(len(h), bool)
+            key = (bucket_of(h, n_buckets).astype(U) << U(32)) | shortened(h).astype(U)
+            k = np.searchsorted(shared, key)
+            keep = shared[np.minimum(k, len(shared) - 1)] == key if len(shared) else np.zeros(len(h), bool)
             row, place, h, low, high = (x[keep] for x in (row, place, h, low, high))
             raw = np.empty((len(h), 10 + WIDTH), np.uint8)
             raw[:, :8] = h.astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -126,6 +141,12 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U(20)) % U(n)).astype(np.int64)
 
 
+def shortened(h: np.ndarray) -> np.ndarray:
+    """What tells anchors of one bucket apart. Two that it does not are only looked at in vain; a bucket holds as many
+    anchors at any size of the input, so that stays rare."""
+    return (h * STEP >> U(32)).astype(np.uint32)
+
+
 def split(bucket: np.ndarray):
     """(bucket, places) in order of bucket, places ascending."""
     order = np.argsort(bucket, kind="stable")
@@ -176,9 +197,12 @@ def covered_offsets(raw: np.ndarray, ids: np.ndarray, batch: int = 1 << 13) -> n
             out[i] = np.uint32((1 << OFFSETS) - 1)
         else:
             fresh.append(i)
+    hashes = np.ascontiguousarray(raw[fresh, :8]).view(">u8").reshape(-1)
+    _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    fresh = np.array(fresh, np.int64)[times[which] > 1]  # an anchor with one context has nothing to be compared with
     levels = Levels()
     for k in range(0, len(fresh), batch):
-        rows = np.array(fresh[k : k + batch])
+        rows = fresh[k : k + batch]
         n = raw[rows, 9].astype(np.int64) - raw[rows, 8] + 1  # windows of each entry
         owner = np.repeat(np.arange(len(rows)), n)
         shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -198,6 +222,24 @@ def rows_out(rows) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "bucket", "g", "a", "b"])
 
 
+def pack(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 3)
+
+
+def unpack(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(x), kind)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as differences, their bytes by rank, deflated."""
+    return pack(np.diff(x, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def unpack_sorted(x: bytes) -> np.ndarray:
+    planes = unpack(x, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.uint32)
+
+
 def blob(table: pa.Table, kind: int) -> list[tuple[int, int, bytes, bytes]]:
     got = table.to_pydict()
     return sorted((b, g, x, y) for k, b, g, x, y in zip(got["kind"], got["bucket"], got["g"], got["a"], got["b"], strict=True) if k == kind)
@@ -211,28 +253,38 @@ def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_te
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"__rest{k}") for k, c in enumerate(rest)])
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n_groups = max(1, -(-total // group_bytes))
-    docs = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_groups)).cast("int"))
     tasks = max(n_groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    columns = docs.columns
+    docs = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_groups)).cast("int"))
+    schema = to_arrow_schema(docs.select(*columns).schema)
+
+    def deal(batches):
+        for batch in batches:
+            for b in (batch.slice(k, 4096) for k in range(0, len(batch), 4096)):
+                parts = split(b.column("g").to_numpy())
+                docs = b.select(columns)
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in parts], pa.int32()), pa.array([packed(docs.take(pa.array(x))) for _, x in parts], pa.binary())], names=["g", "packet"])
 
     def offer(key, table):
         h, ids = [], []
-        group = Group(table)
+        group = Group(unpacked(table, schema))
         for i, _, _, _, (row, _, hashes, _, _) in group.parts():
             h.append(hashes)
             ids.append(group.ids[i + row])
         h, ids = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((h, U), (ids, np.int64)))
-        order = np.argsort(h, kind="stable")
-        h, ids = h[order], ids[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        bucket, short = bucket_of(h, n_groups), shortened(h)
+        order = np.lexsort((short, bucket))
+        bucket, short, ids = bucket[order], short[order], ids[order]
+        first = np.flatnonzero(np.concatenate([[True], (short[1:] != short[:-1]) | (bucket[1:] != bucket[:-1])])) if len(h) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.zeros(0, bool)
-        h = h[first]
-        return rows_out([(0, b, key[0].as_py(), h[x].tobytes(), several[x].tobytes()) for b, x in split(bucket_of(h, n_groups))])
+        short = short[first]
+        return rows_out([(0, b, key[0].as_py(), pack_sorted(short[x]), pack(several[x])) for b, x in split(bucket[first])])
 
     def share(key, table):
         got = blob(table, 0)
-        parts = [np.frombuffer(x, U) for _, _, x, _ in got]
+        parts = [unpack_sorted(x) for _, _, x, _ in got]
         h = np.concatenate(parts)
-        several = np.concatenate([np.frombuffer(y, bool) for *_, y in got])
+        several = np.concatenate([unpack(y, bool) for *_, y in got])
         order = np.argsort(h, kind="stable")
         new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
         first = np.flatnonzero(new)
@@ -240,33 +292,34 @@ def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_te
         out = np.empty(len(h), bool)
         out[order] = np.repeat(many, np.diff(np.append(first, len(h))))
         cuts = np.cumsum([len(p) for p in parts])[:-1]
-        return rows_out([(1, b, g, p[o].tobytes(), None) for (b, g, *_), p, o in zip(got, parts, np.split(out, cuts), strict=True) if o.any()])
+        return rows_out([(1, b, g, pack_sorted(p[o]), None) for (b, g, *_), p, o in zip(got, parts, np.split(out, cuts), strict=True) if o.any()])
 
-    def shared_hashes(table):
-        return np.sort(np.concatenate([np.frombuffer(x, U) for _, _, x, _ in blob(table, 1)] or [np.zeros(0, U)]))
+    def shared_keys(table):
+        return np.sort(np.concatenate([(np.uint64(b) << U(32)) | unpack_sorted(x).astype(U) for b, _, x, _ in blob(table, 1)] or [np.zeros(0, U)]))
 
     def send(key, left, right):
         if not left.num_rows:
             return rows_out([])
-        names, least, *_ = Group(left).entries(shared_hashes(right))
+        names, least, *_ = Group(unpacked(left, schema)).entries(shared_keys(right), n_groups)
         h = np.ascontiguousarray(names[:, :8]).view(">u8").reshape(-1).astype(U)
-        return rows_out([(2, b, key[0].as_py(), names[x].tobytes(), least[x].tobytes()) for b, x in split(bucket_of(h, n_groups))])
+        return rows_out([(2, b, key[0].as_py(), pack(names[x]), pack(least[x])) for b, x in split(bucket_of(h, n_groups))])
 
     def index(key, table):
         got = blob(table, 2)
-        ids = [np.frombuffer(y, np.int64) for *_, y in got]
-        raw = np.frombuffer(b"".join(x for _, _, x, _ in got), np.uint8).reshape(-1, 10 + WIDTH)
+        ids = [unpack(y, np.int64) for *_, y in got]
+        raw = np.concatenate([unpack(x, np.uint8) for _, _, x, _ in got]).reshape(-1, 10 + WIDTH)
         bits = np.split(covered_offsets(raw, np.concatenate(ids)), np.cumsum([len(x) for x in ids])[:-1])
-        return rows_out([(3, b, g, x.tobytes(), None) for (b, g, *_), x in zip(got, bits, strict=True) if x.any()])
+        return rows_out([(3, b, g, pack(x), None) for (b, g, *_), x in zip(got, bits, strict=True) if x.any()])
 
     def remove(key, left, right):
+        left = unpacked(left, schema)
         group = Group(left)
-        names, least, entry, ids, parts = group.entries(shared_hashes(right))
+        names, least, entry, ids, parts = group.entries(shared_keys(right), n_groups)
         h = np.ascontiguousarray(names[:, :8]).view(">u8").reshape(-1).astype(U) if len(names) else np.zeros(0, U)
         bits = np.zeros(len(names), np.uint32)
         own = dict(split(bucket_of(h, n_groups)))
         for b, _, x, _ in blob(right, 3):
-            bits[own[b]] = np.frombuffer(x, np.uint32)
+            bits[own[b]] = unpack(x, np.uint32)
         cover = np.where(ids > least[entry], np.uint32((1 << OFFSETS) - 1), bits[entry])
         out, done = [], 0
         for (i, j, data, offs), (row, place, high) in zip(chunks(group.text, CHUNK), parts, strict=True):
@@ -296,11 +349,11 @@ def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_te
     out_schema = StructType.fromDDL(KEEPS + ", text string" * with_text)
     for k in range(len(rest)):
         out_schema.add(StructField(f"__rest{k}", docs.schema[f"__rest{k}"].dataType))
-    dealt = docs.repartition(tasks, "g")
+    dealt = docs.mapInArrow(deal, "g int, packet binary").repartition(tasks, "g")
     offered = dealt.groupBy("g").applyInArrow(offer, BLOBS)
     shared = stored(offered.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(share, BLOBS))
     sent = dealt.groupBy("g").cogroup(shared.repartition(tasks, "g").groupBy("g")).applyInArrow(send, BLOBS)
-    found = checkpointed(sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(index, BLOBS))
+    found = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(index, BLOBS)
     both = shared.union(found).repartition(tasks, "g")
     return dealt.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(remove, out_schema)
 
