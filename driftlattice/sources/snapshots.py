@@ -8,13 +8,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftlattice.errors import SnapshotError
 from driftlattice.functions.fingerprint import blake3
 
 VERSION = "1.0"
-SCHEMA = T.StructType.fromDDL(
+SCHEMA = (
     "snapshot_version string, timestamp string, commit string, "
     "graph struct<node_count:bigint,edge_count:bigint,density:double,cycle_count:bigint,top_hubs:array<string>,component_count:bigint>, "
     "partition struct<assignments:map<string,bigint>,stability:map<string,double>,modularity:double,seed:bigint>, "
