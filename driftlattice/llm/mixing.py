@@ -130,6 +130,6 @@ def mixed_documents(docs: DataFrame, block: int = 64, **options) -> DataFrame:
     df = mix(docs, block=block, **options).filter("taken > 0")
     tokens = F.filter(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), lambda t, i: chosen(F.floor((F.col("start") + i) / block)))
     rest = F.when(F.col("taken") > F.col("whole") * F.col("size"), F.array(F.array_join(tokens, ""))).otherwise(F.array().cast("array<string>"))
-    copies = F.concat(F.array_repeat(F.col("text"), F.least(F.col("whole"), F.floor(F.col("taken") / F.col("size"))).cast("int")), rest)
+    copies = F.concat(F.array_repeat(F.col("text"), F.least(F.col("whole"), F.floor(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")), rest)
     df = df.withColumn("__copies", copies).select(*[F.col(f"`{c}`") for c in names if c != "text"], F.explode("__copies").alias("text"))
     return df.select(*names)
