@@ -7,11 +7,12 @@
    inverse document frequency of its words. `signatures` draws bands x rows consistent weighted samples (Ioffe's
    improved scheme): two texts share a sample with a probability of their weighted Jaccard similarity.
 3. Equal texts form one class at once, by digest; what follows is about different texts. Texts that share a band meet
-   in a bucket. There each is paired with the bucket's smallest doc_id if their samples agree well enough; those left
-   over meet again under a longer key, until none are left. No bucket emits all its pairs.
-4. Pairs are verified on their whole texts: weighted Jaccard similarity of at least `threshold`. A text's pair with its
-   smallest partner comes first, then only pairs that would join two components; texts whose pair fails are paired
-   anew with others of their bucket. Classes are the connected components.
+   in a bucket. A bucket of more than `chunk` texts is split by a further sample (similar texts stay together), and what
+   is still larger by chance, otherwise for each band. In a part, agreement of samples estimates similarities; of all
+   pairs that agree well enough it sends the strongest ones that join its texts (a maximum spanning forest) and each
+   text's three best, so a few links for each text however large the group is.
+4. Links are verified on whole texts: weighted Jaccard similarity of at least `threshold`. Each text's best link comes
+   first, then what would join two components: forests, then all others. Classes are the connected components.
 
 Defined results: a class is named by its smallest doc_id; n_links counts verified links of the text's first copy and is
 0 for texts without near copies; null and empty texts equal each other and nothing else, as do texts without words
@@ -141,7 +142,7 @@ def samples(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n_rows: int, n:
 
 
 def signatures(df: DataFrame, idf: np.ndarray, text: str = "text", n: int = BANDS * ROWS) -> DataFrame:
-    """doc_id, digest of the text, and its samples (none for a text without words)."""
+    """doc_id, digest of the text, and its samples (none for a text without words), whole and 32 bits of each."""
     bc = df.sparkSession.sparkContext.broadcast(idf)  # 2^17 numbers at any size
 
     def run(batches):
@@ -153,33 +154,98 @@ def signatures(df: DataFrame, idf: np.ndarray, text: str = "text", n: int = BAND
                 digests = [hashlib.blake2b(data[p:q], digest_size=16).digest() for p, q in zip(offs, offs[1:], strict=False)]
                 ends = np.concatenate([[0], np.cumsum(has * n)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sig[has].reshape(-1), pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(digests, pa.binary()), lists], names=["doc_id", "digest", "sig"])
+                packed = [x.tobytes() if fine else None for x, fine in zip((sig.view(U) >> U(32)).astype(np.uint32), has, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(digests, pa.binary()), lists, pa.array(packed, pa.binary())], names=["doc_id", "digest", "sig", "packed"])
 
-    return df.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, digest binary, sig array<bigint>")
+    return df.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, digest binary, sig array<bigint>, packed binary")
 
 
-def candidates(members: DataFrame, sigs: DataFrame, agree: float) -> DataFrame:
-    """Pairs (x, l) out of buckets members(band, key, x): every x of a bucket with an l whose samples agree, if one is there."""
-    found, turn = None, 0
-    light = sigs.select(F.col("doc_id").alias("id"), "sig")
+def spanning(same: np.ndarray, least: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Of texts whose samples agree `same` times, pairs (i, j, agreements) with at least `least`: a maximum spanning
+    forest, and each text's three best besides."""
+    n = len(same)
+    if n == 2:
+        return ([(0, 1, int(same[0, 1]))] if same[0, 1] >= least else []), []
+    np.fill_diagonal(same, 0)
+    best = np.argsort(-same.astype(np.int16), axis=1, kind="stable")[:, :3] if n < 64 else np.argpartition(same, -3, axis=1)[:, -3:]
+    forest, of = [], np.arange(n)
     while True:
-        heads = members.groupBy("band", "key").agg(F.min("x").alias("l"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rows = members.join(heads.drop("n"), ["band", "key"]).filter("x != l")
-        pairs = rows.select("x", "l").distinct()
-        pairs = pairs.join(light, F.col("x") == F.col("id")).drop("id").withColumnRenamed("sig", "sx").join(light, F.col("l") == F.col("id")).drop("id")
-        same = F.aggregate(F.zip_with("sx", "sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
-        judged = checkpointed(pairs.select("x", "l", (same >= agree * F.size("sig")).alias("good")))
-        good = judged.filter("good").select("x", "l")
-        found = good if found is None else found.union(good).distinct()
-        bad = judged.filter("NOT good").select("x", "l")
-        if bad.isEmpty():
-            return found
-        turn += 1
-        left = rows.join(bad, ["x", "l"], "left_semi").select("band", "key", "x").join(light, F.col("x") == F.col("id"))
-        step = F.get("sig", ((F.col("band") * ROWS + ROWS - 1 + turn) % F.size("sig")).cast("int"))
-        members = checkpointed(left.select("band", F.xxhash64("key", step).alias("key"), "x"))
-        if turn > BANDS * ROWS:
-            raise ValueError("texts with equal samples are judged unlike")
+        outside = np.where(of[:, None] == of[None, :], 0, same)
+        to = outside.argmax(1)
+        value = outside[np.arange(n), to]
+        rows = np.lexsort((np.arange(n), -value.astype(np.int64)))
+        joined, seen = False, set()
+        for i in rows.tolist():  # the strongest link of each part to another one
+            if value[i] < least:
+                break
+            if of[i] in seen:
+                continue
+            seen.add(of[i])
+            forest.append((i, int(to[i]), int(value[i])))
+        for i, j, _ in forest[-len(seen) :] if seen else []:
+            a, b = of[i], of[j]
+            if a != b:
+                of[of == max(a, b)] = min(a, b)
+                joined = True
+        if not joined:
+            break
+    kin = [(i, int(j), int(same[i, j])) for i in range(n) for j in best[i] if same[i, j] >= least]
+    return forest, kin
+
+
+def links_within(rows: DataFrame, agree: float) -> DataFrame:
+    """(x, l, same, forest) out of parts: rows(part, x, sig), of which those of a part stand together."""
+    n_samples = BANDS * ROWS
+    least = int(np.ceil(agree * n_samples))
+
+    def emit(ids, sigs, out):
+        if len(ids) < 2:
+            return
+        x = np.frombuffer(b"".join(sigs), np.uint32).reshape(len(ids), n_samples)
+        same = np.zeros((len(ids), len(ids)), np.uint8)
+        for k in range(0, len(ids), 32):
+            same[k : k + 32] = (x[k : k + 32, None, :] == x[None, :, :]).sum(2)
+        for kind, pairs in zip((True, False), spanning(same, least), strict=True):
+            out.extend((max(ids[i], ids[j]), min(ids[i], ids[j]), v, kind) for i, j, v in pairs)
+
+    def run(batches):
+        part, ids, sigs = None, [], []
+        for b in batches:
+            out: list = []
+            parts = b.column(0).to_pylist()
+            for p, x, sig in zip(parts, b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if p != part:
+                    emit(ids, sigs, out)
+                    part, ids, sigs = p, [], []
+                ids.append(x)
+                sigs.append(sig)
+            yield found(out)
+        out = []
+        emit(ids, sigs, out)
+        yield found(out)
+
+    def found(out):
+        columns = [*zip(*out, strict=True)] or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["x", "l", "same", "forest"])
+
+    return rows.mapInArrow(run, "x long, l long, same int, forest boolean")
+
+
+def candidates(sigs: DataFrame, agree: float, chunk: int = 1024) -> DataFrame:
+    """Links (x, l, same, forest) between texts sigs(doc_id, sig) that share a band."""
+    n = BANDS * ROWS
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[F.get("sig", b * ROWS + i) for i in range(ROWS)]).alias("key"), F.get("sig", (b * ROWS + ROWS + 1) % n).alias("next")) for b in range(BANDS)])
+    rows = sigs.select(F.col("doc_id").alias("x"), F.explode(bands).alias("k")).select("k.band", "k.key", "k.next", "x")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = rows.join(sizes, "key").withColumn("key", F.when(F.col("n") > chunk, F.xxhash64("key", "next")).otherwise(F.col("key")))
+    rows = checkpointed(rows.drop("next", "n"))
+    finer = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
+    rows = rows.join(finer, "key").select(F.xxhash64("key", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("x", "band"), F.col("parts")))).alias("part"), "x")
+    packed = sigs.select(F.col("doc_id").alias("__id"), "packed")
+    rows = rows.join(packed, F.col("x") == F.col("__id")).select("part", "x", F.col("packed").alias("sig"))
+    rows = rows.repartition("part").sortWithinPartitions("part", "x")
+    found = links_within(rows, agree)
+    return found.groupBy("x", "l").agg(F.max("same").alias("same"), F.max("forest").alias("forest"))
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, rows_per_key: int = 512) -> DataFrame:
@@ -218,53 +284,36 @@ def features(text: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, w
 
 
-def near_duplicates(df: DataFrame, text: str = "text", threshold: float = 0.8, agree: float = 0.55) -> DataFrame:
-    """doc_id, class_id, n_links of every document. agree: share of samples that must agree before texts are compared."""
+def near_duplicates(df: DataFrame, text: str = "text", threshold: float = 0.8, agree: float = 0.62) -> DataFrame:
+    """doc_id, class_id, n_links of every document. agree: share of samples that must agree before texts are compared;
+    it lies three standard errors below the threshold."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     idf, _ = document_frequencies(docs)
     signed = stored(signatures(docs, idf))
     firsts = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members_of = signed.select("doc_id", "digest").distinct().join(firsts, "digest").select("doc_id", "rep")
-    sigs = signed.filter(F.size("sig") > 0).join(firsts, (signed["digest"] == firsts["digest"]) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "sig").dropDuplicates(["doc_id"])
-    sigs = checkpointed(sigs)
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.get("sig", b * ROWS + i) for i in range(ROWS)]).alias("key")) for b in range(BANDS)])
-    rows = sigs.select(F.col("doc_id").alias("x"), F.explode(keys).alias("k")).select("k.band", "k.key", "x")
-    shared = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = checkpointed(rows.join(shared, ["band", "key"]))
-    links, texts, tried = None, None, None
-    while True:
-        pairs = candidates(members, sigs, agree)
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "l"], "left_anti")
-        pairs = checkpointed(pairs)
-        if pairs.isEmpty():
-            break
-        if texts is None:  # only texts that take part in a bucket are read again
-            ids = members.select(F.col("x").alias("doc_id")).distinct()
-            texts = stored(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-        nearest = pairs.groupBy("x").agg(F.min("l").alias("l"))
-        first = stored(similarities(nearest, texts, idf))
-        good = first.filter(F.col("similarity") >= threshold).select("x", "l")
-        links = checkpointed(good if links is None else links.union(good))
-        rest = pairs.join(first, ["x", "l"], "left_anti")
-        if not rest.isEmpty():
-            of = components(links, "x", "l")
-            side = lambda c, name: of.select(F.col("node").alias(c), F.col("component").alias(name))  # noqa: E731,B023
-            rest = rest.join(side("x", "cx"), "x", "left").join(side("l", "cl"), "l", "left")
-            rest = checkpointed(rest.filter(F.coalesce("cx", "x") != F.coalesce("cl", "l")).select("x", "l"))
-            more = stored(similarities(rest, texts, idf)) if not rest.isEmpty() else first.limit(0)
-            links = checkpointed(links.union(more.filter(F.col("similarity") >= threshold).select("x", "l")))
-            first = first.union(more)
-        failed = checkpointed(first.filter(F.col("similarity") < threshold).select("x", "l"))
-        tried = first.select("x", "l") if tried is None else tried.union(first.select("x", "l"))
-        if failed.isEmpty():
-            break
-        members = checkpointed(members.join(failed.select("x").distinct(), "x", "left_semi").select("band", "key", "x"))
-    if links is None:
+    alone = signed.filter(F.size("sig") > 0).groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "packed")).alias("s")).select("s.*")
+    links = checkpointed(candidates(alone, agree))
+    if links.isEmpty():
         return members_of.select("doc_id", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    of = components(links, "x", "l")
-    ends = links.distinct().select(F.explode(F.array("x", "l")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = of.join(ends, "node")
+    ids = links.select(F.explode(F.array("x", "l")).alias("doc_id")).distinct()
+    texts = stored(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))  # only texts that have a link are read again
+    verified = lambda pairs: stored(similarities(pairs.select("x", "l"), texts, idf).filter(F.col("similarity") >= threshold).select("x", "l"))
+    ends = links.select(F.explode(F.array(F.struct(F.col("x").alias("id"), "same", "forest", "l", "x"), F.struct(F.col("l").alias("id"), "same", "forest", "l", "x"))).alias("e")).select("e.*")
+    best = ends.groupBy("id").agg(F.max_by(F.struct("x", "l"), F.struct("same", "forest", -F.col("l"), -F.col("x"))).alias("p")).select("p.x", "p.l").distinct()
+    best = checkpointed(best)
+    good = verified(best)
+    tried = best
+    for rest in (links.filter("forest"), links):
+        of = components(good, "x", "l")
+        side = lambda c, name: of.select(F.col("node").alias(c), F.col("component").alias(name))  # noqa: E731,B023
+        rest = rest.select("x", "l").join(tried, ["x", "l"], "left_anti").join(side("x", "cx"), "x", "left").join(side("l", "cl"), "l", "left")
+        rest = checkpointed(rest.filter(F.coalesce("cx", "x") != F.coalesce("cl", "l")).select("x", "l"))
+        if not rest.isEmpty():
+            good, tried = checkpointed(good.union(verified(rest))), tried.union(rest)
+    of = components(good, "x", "l")
+    counts = good.distinct().select(F.explode(F.array("x", "l")).alias("__n")).groupBy("__n").agg(F.count(F.lit(1)).alias("n_links"))
+    known = of.join(counts, F.col("node") == F.col("__n"))
     out = members_of.join(known, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
