@@ -174,14 +174,17 @@ def texts(batch_column: pa.Array):
             yield i + r, data[p:q].tobytes().decode("utf-8", "replace"), bool(flags[r])
 
 
-def fit(labelled: DataFrame, cost: np.ndarray, n_toxic: int = 2000, n_clean: int = 6000, precision: float = 0.995, cover: int = 3):
-    """labelled(doc_id, text, toxic) -> (weight of each learned feature, slope, offset)."""
-    sc = labelled.sparkSession.sparkContext
-    counts = {bool(r.toxic): r.n for r in labelled.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect() if r.toxic is not None}
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost: np.ndarray, n_toxic: int = 2000, n_clean: int = 6000, precision: float = 0.995, cover: int = 3):
+    """(weight of each learned feature, slope, offset), from docs(doc_id, text) with labels(doc_id, toxic) where `learn`
+    holds. About n_toxic and n_clean labelled rows are drawn by digest before texts are joined to them."""
+    sc = docs.sparkSession.sparkContext
     spot = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 7), 16, 10).cast("double") / float(1 << 28)
+    known = labels.filter(learn).select("doc_id", (F.col("toxic") == 1).alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").distinct()
+    counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def sample(toxic: bool, most: int) -> DataFrame:
-        return labelled.filter((F.col("toxic") == int(toxic)) & (spot < most / max(1, counts.get(toxic, 0)))).select("text")
+        drawn = known.filter((F.col("toxic") == F.lit(toxic)) & (spot < most / max(1, counts.get(toxic, 0)))).select(F.col("doc_id").alias("__drawn")).distinct()
+        return docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("__drawn"), "left_semi").select(F.col("text").cast("string").alias("text"))
 
     bc = sc.broadcast(cost)
 
@@ -219,9 +222,11 @@ def fit(labelled: DataFrame, cost: np.ndarray, n_toxic: int = 2000, n_clean: int
     precise = {f: at for f, at in holds.items() if (not clean.get(f) or (x := rate(f, len(at)))[0] / sum(x) >= precision) and surprise(f, len(at)) >= needed}
     heap = [(-len(at), len(f), f) for f, at in precise.items()]
     heapq.heapify(heap)
-    wanted, weights = dict.fromkeys(range(n1), cover), {}  # features that each text may still ask for
+    wanted, weights, stems = dict.fromkeys(range(n1), cover), {}, []  # features that each text may still ask for
     while heap:
         gain, length, f = heapq.heappop(heap)
+        if any(g.startswith(f[1:]) or f[1:].startswith(g) for g in stems):
+            continue  # says nothing that a picked one does not
         now = sum(wanted[i] > 0 for i in precise[f])
         if now < least:
             continue
@@ -229,6 +234,7 @@ def fit(labelled: DataFrame, cost: np.ndarray, n_toxic: int = 2000, n_clean: int
             heapq.heappush(heap, (-now, length, f))
             continue
         x = rate(f, len(precise[f]))
+        stems.append(f[1:])
         weights[f] = math.log(x[0] / x[1])
         for i in precise[f]:
             wanted[i] -= 1
@@ -272,11 +278,9 @@ def score_documents(df: DataFrame, cost: np.ndarray, model, text: str = "text",
 
 
 def learned(docs: DataFrame, labels: DataFrame, learn: Column, **options):
-    """The character model of all docs, and what labels(doc_id, toxic) teach where `learn` holds."""
+    """The character model of all docs, and what labels teach where `learn` holds."""
     cost = character_model(docs)
-    known = labels.filter(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("toxic"))
-    labelled = docs.filter(learn).select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id"))
-    return cost, fit(labelled.select("doc_id", "text", "toxic"), cost, **options)
+    return cost, fit(docs, labels, learn, cost, **options)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column, **options) -> DataFrame:
