@@ -60,7 +60,7 @@ def metric_fields(rows) -> dict:
     drifts = [r["convention_drift"] for r in rows]
     return {
         "entropy_per_category": {r["category"]: r["entropy"] for r in rows},
-        "total_entropy": sum(r["entropy"] for r in rows),
+        "total_entropy": sum((r["entropy"] for r in rows), 0.0),
         "convention_drift": sum(drifts) / len(drifts) if drifts else 0.0,
         "convention_drift_per_category": {r["category"]: r["convention_drift"] for r in rows},
     }
@@ -202,7 +202,7 @@ def delta(before: dict | None, after: dict) -> dict:
         zip(
             names,
             (
-                sum(normalized_entropies(after).values()) - sum(normalized_entropies(before).values()),
+                sum(normalized_entropies(after).values(), 0.0) - sum(normalized_entropies(before).values(), 0.0),
                 b["convention_drift"] - a["convention_drift"],
                 after["graph"]["density"] - before["graph"]["density"],
                 len(after["partition"]["stability"]) - len(before["partition"]["stability"]),
