@@ -11,7 +11,7 @@
    is still larger by chance, otherwise for each band. In a part, agreement of samples estimates similarities; of all
    pairs that agree well enough it sends the strongest ones that join its texts (a maximum spanning forest) and each
    text's three best, so a few links for each text however large the group is.
-4. Links are verified on whole texts: weighted Jaccard similarity of at least `threshold`. Each text's best link comes
+4. Links are verified on whole texts: weighted (or plain) Jaccard similarity of at least `threshold`. Each text's best link comes
    first, then what would join two components: forests, then all others. Classes are the connected components.
 
 Defined results: a class is named by its smallest doc_id; n_links counts verified links of the text's first copy and is
@@ -249,7 +249,8 @@ def candidates(sigs: DataFrame, agree: float, chunk: int = 1024) -> DataFrame:
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, rows_per_key: int = 512) -> DataFrame:
-    """pairs(x, l) with similarity. texts(doc_id, text). A partner of many texts is spread over keys of about `rows_per_key` rows."""
+    """pairs(x, l) with similarity, the larger one of weighted Jaccard and Jaccard, so that no pair of either kind at the
+    threshold is lost. texts(doc_id, text). A partner of many texts is spread over keys of about `rows_per_key` rows."""
     bounded_batches(pairs.sparkSession)
     bc = pairs.sparkSession.sparkContext.broadcast(idf)
     n = pairs.groupBy("l").agg(F.ceil(F.count(F.lit(1)) / rows_per_key).cast("int").alias("parts"))
@@ -272,7 +273,9 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, rows_per_k
                 common = hl[at] == hx if len(hl) else np.zeros(len(hx), bool)
                 shared = np.minimum(wx[common], wl[at[common]]).sum()
                 whole = wx.sum() + wl.sum() - shared
-                out.append(shared / whole if whole else 0.0)
+                n = int(np.count_nonzero(common))
+                plain = n / (len(hx) + len(hl) - n) if len(hx) or len(hl) else 0.0
+                out.append(max(shared / whole, plain) if whole else 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["x", "l", "similarity"])
 
     return both.mapInArrow(run, "x long, l long, similarity double")

@@ -37,7 +37,7 @@ SPANS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 FINE_SPANS = re.compile(f"{SPACE}*[{LATIN}]+|{SPACE}*[^{LATIN}{SPACE}]+|{SPACE}+")
 CROSSES = re.compile(f"[{LATIN}][^{LATIN}{SPACE}]|[^{LATIN}{SPACE}][{LATIN}]")
-KEPT_SPANS, KEPT_PAIRS = 1_000_000, 1_000_000
+KEPT_SPANS, KEPT_PAIRS = 200_000, 300_000  # tables are kept in two generations, so what comes often stays
 
 
 class Encoder:
@@ -65,11 +65,11 @@ class Encoder:
         self.prefix = sp.encode("a", out_type=str)[0].startswith(SPACE) if n else True
         self.rank = {p: -s for p, s in self.scores.items() if len(p) > 1}  # the turn of the merge that makes a piece
         self.parts: dict[str, tuple[str, str]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.pair_ids: dict[int, bool] = {}
         self.names = [sp.id_to_piece(i) for i in range(n)]
         self.whole: dict[str, bool] = {}
         self.spans: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         split = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         fine = split and not any(map(CROSSES.search, self.ids))
         self.cut = FINE_SPANS.findall if fine else SPANS.findall if split else lambda text: [text]
@@ -101,10 +101,6 @@ class Encoder:
     def follows(self, a: str, b: str) -> bool:
         """Whether the merges of a + b end in a and b: undoing the later merge of the two sides again and again, no pair
         across the border may have had an earlier turn than the merge just undone (of equals, the left one goes first)."""
-        key = (a, b)
-        found = self.pairs.get(key)
-        if found is not None:
-            return found
         rank, limit, found = self.rank, float("inf"), True
         while True:
             across = rank.get(a + b)
@@ -118,9 +114,6 @@ class Encoder:
                 limit, b = y + 1, self.halves(b)[0]
             else:
                 break
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
-        self.pairs[key] = found
         return found
 
     def stands(self, piece: str) -> bool:
@@ -219,10 +212,12 @@ class Encoder:
         return tuple(reversed(out))
 
     def span(self, text: str) -> tuple[int, ...]:
-        out = self.short(text) if len(text) <= self.longest and not self.unigram else tuple(self.stream(text))
+        found = self.older.get(text)
+        out = found if found is not None else self.short(text) if len(text) <= self.longest and not self.unigram else tuple(self.stream(text))
         if len(text) <= 4 * self.longest:
             if len(self.spans) >= KEPT_SPANS:
-                self.spans.clear()
+                self.older = self.spans
+                self.spans = {}
             self.spans[text] = out
         return out
 
@@ -230,8 +225,7 @@ class Encoder:
         if not text:
             return []
         text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        kept = self.spans
-        return list(chain.from_iterable(kept.get(s) or self.span(s) for s in self.cut(text)))
+        return list(chain.from_iterable(self.spans.get(s) or self.span(s) for s in self.cut(text)))
 
     def decoded(self, ids) -> bytes:
         raw = b"".join(map(self.texts.__getitem__, ids))

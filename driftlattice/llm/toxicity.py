@@ -39,7 +39,7 @@ EDGE = ".,;:?\"'()[]{}<>%&#*-_=~^`/\\…«»¿¡"
 SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+€]|[0-9@$!|+€][^\W\d_]|([^\W\d_])\1\1")
 DISGUISE, REPEAT, BREAK = 1.0, 1.5, 4.0  # costs, in nats
 PREFIXES = (4, 5, 6)
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 
 
 def character_model(df: DataFrame, text: str = "text") -> np.ndarray:
@@ -112,10 +112,11 @@ def spaced_runs(text: str) -> list[str]:
 
 
 class Restorer:
-    """Distinct restored words of a text, with a bounded table of tokens seen before."""
+    """Distinct restored words of a text, with a bounded table of tokens seen before; only words with evidence under
+    `weights`, if they are given."""
 
-    def __init__(self, cost: np.ndarray):
-        self.cost = cost.tolist()
+    def __init__(self, cost: np.ndarray, weights: dict[str, float] | None = None):
+        self.cost, self.weights = cost.tolist(), weights
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def readings(self, token: str) -> tuple[str, ...]:
@@ -123,7 +124,7 @@ class Restorer:
         words = re.findall(r"[^\W\d_]+", low)
         if SUSPECT.search(low):
             words += re.findall(r"[^\W\d_]+", restore(low, self.cost))
-        found = tuple(dict.fromkeys(words))
+        found = tuple(dict.fromkeys(words if self.weights is None else (w for w in words if any(f in self.weights for f in features(w)))))
         if len(self.seen) >= KEPT_WORDS:
             self.seen.clear()
         self.seen[token] = found
@@ -134,7 +135,10 @@ class Restorer:
         get = self.seen.get
         for token in set(text.split()):
             found = get(token)
-            out.update(self.readings(token) if found is None else found)
+            if found is None:
+                found = self.readings(token)
+            if found:
+                out.update(found)
         if spaced:
             for run in set(spaced_runs(text.lower())):
                 reading = restore(run, self.cost, spaced=True)
@@ -257,18 +261,11 @@ def score_documents(df: DataFrame, cost: np.ndarray, model, text: str = "text",
 
     def run(batches):
         cost, (weights, slope, offset) = bc.value
-        r, known = Restorer(cost), {}
+        r = Restorer(cost, weights)
         for b in batches:
             scores = []
             for _, t, s in texts(b.column(0)):
-                total = 0.0
-                for w in r.words(t, s):
-                    value = known.get(w)
-                    if value is None:
-                        if len(known) >= KEPT_WORDS:
-                            known.clear()
-                        value = known[w] = evidence({w}, weights)
-                    total += value
+                total = evidence(r.words(t, s), weights)
                 scores.append(1 / (1 + math.exp(-slope * (min(total, 20.0) - offset))))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64())], schema=pa.schema([*list(b.schema)[1:], pa.field(name, pa.float64())]))
 
