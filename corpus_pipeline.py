@@ -15,6 +15,7 @@ from driftlattice.llm.pieces import encode_documents
 from driftlattice.llm.suffixdedup import without_repeats
 from driftlattice.llm.textbuf import held_out, read_table, stored
 from driftlattice.llm.toxicity import without_toxic
+from driftlattice.session import with_package
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
-    return without_toxic(docs, read_table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    return without_toxic(docs, read_table(with_package(spark), sf_dir, "labels"), ~held_out(F.col("doc_id")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,6 +130,19 @@ class Restorer:
         self.seen[token] = found
         return found
 
+    def in_order(self, text: str, spaced: bool) -> dict[str, str]:
+        """The distinct restored words, each with the token before its first place."""
+        out: dict[str, str] = {}
+        before = ""
+        for token in text.split():
+            found = self.seen.get(token)
+            for w in self.readings(token) if found is None else found:
+                out.setdefault(w, before)
+            before = token
+        for w in self.words(text, spaced) if spaced else ():
+            out.setdefault(w, "")
+        return out
+
     def words(self, text: str, spaced: bool) -> set[str]:
         out: set[str] = set()
         get = self.seen.get
@@ -195,17 +208,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost: np.ndarray, n_t
     def own_words(batches):
         r = Restorer(bc.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(r.words(t, s)) for _, t, s in texts(b.column(0))], pa.list_(pa.string()))], names=["words"])
+            found = [sorted(r.in_order(t, s).items()) for _, t, s in texts(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([[x for pair in words for x in pair] for words in found], pa.list_(pa.string()))], names=["words"])
 
     # copies of one text count once
     toxic = sorted({tuple(r.words) for r in sample(True, n_toxic).mapInArrow(own_words, "words array<string>").collect()})
     holds = defaultdict(set)
+    beside = defaultdict(set)
     for i, words in enumerate(toxic):
-        for w in words:
+        for w, before in zip(words[::2], words[1::2], strict=True):
             for f in features(w):
                 holds[f].add(i)
+                beside[f].add(before)
     least = max(2, len(toxic) // 500)
-    holds = {f: at for f, at in holds.items() if len(at) >= least}
+    # a word of one text's near copies always stands beside the same words, one that people use does not
+    holds = {f: at for f, at in holds.items() if len(at) >= least and len(beside[f]) >= max(2, min(5, len(at) // 3))}
     names = sc.broadcast(frozenset(holds))
 
     def clean_counts(batches):
