@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -39,7 +40,7 @@ EDGE = ".,;:?\"'()[]{}<>%&#*-_=~^`/\\…«»¿¡"
 SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+€]|[0-9@$!|+€][^\W\d_]|([^\W\d_])\1\1")
 DISGUISE, REPEAT, BREAK = 1.0, 1.5, 4.0  # costs, in nats
 PREFIXES = (4, 5, 6)
-KEPT_WORDS = 300_000
+KEPT_WORDS, PLACES = 300_000, 1 << 20
 
 
 def character_model(df: DataFrame, text: str = "text") -> np.ndarray:
@@ -183,6 +184,10 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:k]}" for k in PREFIXES if len(word) >= k)]
 
 
+def place(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % PLACES
+
+
 def texts(batch_column: pa.Array):
     """(row, text, whether spaced letters are worth a look) of a column."""
     for i, _, data, offs in chunks(batch_column):
@@ -211,16 +216,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost: np.ndarray, n_t
             found = [sorted(r.in_order(t, s).items()) for _, t, s in texts(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([[x for pair in words for x in pair] for words in found], pa.list_(pa.string()))], names=["words"])
 
-    # copies of one text count once
-    toxic = sorted({tuple(r.words) for r in sample(True, n_toxic).mapInArrow(own_words, "words array<string>").collect()})
-    holds = defaultdict(set)
-    beside = defaultdict(set)
-    for i, words in enumerate(toxic):
+    got = sample(True, n_toxic).mapInArrow(own_words, "words array<string>").toArrow().column(0)
+    rough, seen = np.zeros(PLACES, np.int32), set()
+    once = []  # copies of one text count once
+    for i in range(len(got)):
+        words = got[i].as_py()
+        key = hash(tuple(words))
+        if key not in seen:
+            seen.add(key)
+            once.append(i)
+            rough[list({place(f) for w in words[::2] for f in features(w)})] += 1
+    n1 = len(once)
+    least = max(2, n1 // 500)
+    holds, beside = defaultdict(set), defaultdict(set)
+    for i in once:
+        words = got[i].as_py()
         for w, before in zip(words[::2], words[1::2], strict=True):
             for f in features(w):
-                holds[f].add(i)
-                beside[f].add(before)
-    least = max(2, len(toxic) // 500)
+                if rough[place(f)] >= least:  # others can't have enough texts
+                    holds[f].add(i)
+                    beside[f].add(before)
     # a word of one text's near copies always stands beside the same words, one that people use does not
     holds = {f: at for f, at in holds.items() if len(at) >= least and len(beside[f]) >= max(2, min(5, len(at) // 3))}
     names = sc.broadcast(frozenset(holds))
@@ -235,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost: np.ndarray, n_t
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["feature", "n"])
 
     clean = {r.feature: r.n for r in sample(False, n_clean).mapInArrow(clean_counts, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    n1, n0 = len(toxic), clean.get("", 0)
+    n0 = clean.get("", 0)
     rate = lambda f, at: ((at + 0.5) / (n1 + 1), (clean.get(f, 0) + 0.5) / (n0 + 1))
     share = max(n1, 1) / max(n1 + n0, 1)
     surprise = lambda f, at: at * math.log(1 / share) + clean.get(f, 0) * math.log(1 / (1 - share) if share < 1 else 1) - entropy(at, clean.get(f, 0))
@@ -243,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost: np.ndarray, n_t
     precise = {f: at for f, at in holds.items() if (not clean.get(f) or (x := rate(f, len(at)))[0] / sum(x) >= precision) and surprise(f, len(at)) >= needed}
     heap = [(-len(at), len(f), f) for f, at in precise.items()]
     heapq.heapify(heap)
-    wanted, weights, stems = dict.fromkeys(range(n1), cover), {}, []  # features that each text may still ask for
+    wanted, weights, stems = dict.fromkeys(once, cover), {}, []  # features that each text may still ask for
     while heap:
         gain, length, f = heapq.heappop(heap)
         if any(g.startswith(f[1:]) or f[1:].startswith(g) for g in stems):
