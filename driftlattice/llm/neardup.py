@@ -12,11 +12,15 @@
    pairs that agree well enough it sends the strongest ones that join its texts (a maximum spanning forest) and each
    text's three best, so a few links for each text however large the group is.
 4. Links are verified on whole texts: weighted (or plain) Jaccard similarity of at least `threshold`. Each text's best link comes
-   first, then what would join two components: forests, then all others. Classes are the connected components.
-
-Defined results: a class is named by its smallest doc_id; n_links counts verified links of the text's first copy and is
-0 for texts without near copies; null and empty texts equal each other and nothing else, as do texts without words
-that are equal; repeated rows are copies; rows with a null doc_id are left out; an empty table gives no rows.
+   first, then what would join two components: forests, then all others.
+5. Texts in different parts of a split bucket have not met so far. `left_over` compares every part with every other one;
+   pairs that agree well enough and still lie in two components are verified likewise (a bucket that has become one
+   component has none). Classes are the connected components.
+
+Defined results: a class is named by its smallest doc_id; n_links counts the links of the text's first copy that were
+verified on the way to its class (not all its near copies) and is 0 for texts without near copies; null and empty texts
+equal each other and nothing else, as do texts without words that are equal; repeated rows are copies; rows with a null
+doc_id are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -231,16 +235,21 @@ def links_within(rows: DataFrame, agree: float) -> DataFrame:
     return rows.mapInArrow(run, "x long, l long, same int, forest boolean")
 
 
-def candidates(sigs: DataFrame, agree: float, chunk: int = 1024) -> DataFrame:
-    """Links (x, l, same, forest) between texts sigs(doc_id, sig) that share a band."""
+def buckets(sigs: DataFrame, chunk: int) -> DataFrame:
+    """(key, n, fine, band, x): the texts x of sigs(doc_id, sig) by band, where n > 1 texts share it; `fine` splits what is over `chunk`."""
     n = BANDS * ROWS
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[F.get("sig", b * ROWS + i) for i in range(ROWS)]).alias("key"), F.get("sig", (b * ROWS + ROWS + 1) % n).alias("next")) for b in range(BANDS)])
     rows = sigs.select(F.col("doc_id").alias("x"), F.explode(bands).alias("k")).select("k.band", "k.key", "k.next", "x")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = rows.join(sizes, "key").withColumn("key", F.when(F.col("n") > chunk, F.xxhash64("key", "next")).otherwise(F.col("key")))
-    rows = checkpointed(rows.drop("next", "n"))
-    finer = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
-    rows = rows.join(finer, "key").select(F.xxhash64("key", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("x", "band"), F.col("parts")))).alias("part"), "x")
+    fine = F.when(F.col("n") > chunk, F.xxhash64("key", "next")).otherwise(F.col("key"))
+    return checkpointed(rows.join(sizes, "key").select("key", "n", fine.alias("fine"), "band", "x"))
+
+
+def candidates(sigs: DataFrame, agree: float, chunk: int = 1024, rows: DataFrame | None = None) -> DataFrame:
+    """Links (x, l, same, forest) between texts sigs(doc_id, sig, packed) that share a band. rows: their `buckets`."""
+    rows = buckets(sigs, chunk) if rows is None else rows
+    finer = rows.groupBy("fine").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
+    rows = rows.join(finer, "fine").select(F.xxhash64("fine", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("x", "band"), F.col("parts")))).alias("part"), "x")
     packed = sigs.select(F.col("doc_id").alias("__id"), "packed")
     rows = rows.join(packed, F.col("x") == F.col("__id")).select("part", "x", F.col("packed").alias("sig"))
     rows = rows.repartition("part").sortWithinPartitions("part", "x")
@@ -248,6 +257,51 @@ def candidates(sigs: DataFrame, agree: float, chunk: int = 1024) -> DataFrame:
     return found.groupBy("x", "l").agg(F.max("same").alias("same"), F.max("forest").alias("forest"))
 
 
+def left_over(rows: DataFrame, packed: DataFrame, of: DataFrame, agree: float, chunk: int = 1024, over: int | None = None) -> DataFrame:
+    """All links (x, l, same, forest) between texts of two components that share a bucket of more than `over` (`chunk`)
+    texts: every part of a bucket meets itself and every other one. rows: `buckets`; packed(doc_id, packed);
+    of(node, component), texts without a component are their own."""
+    n_samples = BANDS * ROWS
+    least = int(np.ceil(agree * n_samples))
+    rows = rows.filter(F.col("n") > (chunk if over is None else over)).join(of, F.col("x") == F.col("node"), "left").select("key", "n", "x", F.coalesce("component", "x").alias("c"))
+    apart = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    parts = F.ceil(F.col("n") / chunk)
+    rows = rows.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("x"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "x", "own", "c")
+    rows = rows.join(packed.select(F.col("doc_id").alias("__id"), F.col("packed").alias("sig")), F.col("x") == F.col("__id")).select("block", "x", "own", "c", "sig")
+
+    def emit(ids, own, comp, sigs):
+        x = np.ascontiguousarray(np.frombuffer(b"".join(sigs), np.uint32).reshape(len(ids), n_samples).T)
+        ids, own, comp = np.array(ids, np.int64), np.array(own, np.int64), np.array(comp, np.int64)
+        within = bool((own == own[0]).all())
+        for k in range(0, len(ids), 512):
+            mine = slice(k, k + 512)
+            same = np.zeros((len(ids[mine]), len(ids)), np.uint8)
+            for s in x:
+                same += s[mine, None] == s[None, :]
+            take = (same >= least) & (comp[mine, None] != comp[None, :]) & (ids[mine, None] > ids[None, :])
+            if not within:
+                take &= own[mine, None] != own[None, :]
+            i, j = np.nonzero(take)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[mine][i]), pa.array(ids[j]), pa.array(same[i, j].astype(np.int32))], names=["x", "l", "same"])
+
+    def run(batches):
+        block, kept = None, []
+        for b in batches:
+            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if r[0] != block:
+                    if len(kept) > 1:
+                        yield from emit(*zip(*kept, strict=True))
+                    block, kept = r[0], []
+                kept.append(r[1:])
+        if len(kept) > 1:
+            yield from emit(*zip(*kept, strict=True))
+
+    found = rows.repartition("block").sortWithinPartitions("block", "x").mapInArrow(run, "x long, l long, same int")
+    return found.distinct().withColumn("forest", F.lit(False))
+
+
 def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, rows_per_key: int = 512) -> DataFrame:
     """pairs(x, l) with similarity, the larger one of weighted Jaccard and Jaccard, so that no pair of either kind at the
     threshold is lost. texts(doc_id, text). A partner of many texts is spread over keys of about `rows_per_key` rows."""
@@ -287,25 +341,16 @@ def features(text: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, w
 
 
-def near_duplicates(df: DataFrame, text: str = "text", threshold: float = 0.8, agree: float = 0.62) -> DataFrame:
-    """doc_id, class_id, n_links of every document. agree: share of samples that must agree before texts are compared;
-    it lies three standard errors below the threshold."""
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    idf, _ = document_frequencies(docs)
-    signed = stored(signatures(docs, idf))
-    firsts = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members_of = signed.select("doc_id", "digest").distinct().join(firsts, "digest").select("doc_id", "rep")
-    alone = signed.filter(F.size("sig") > 0).groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "packed")).alias("s")).select("s.*")
-    links = checkpointed(candidates(alone, agree))
-    if links.isEmpty():
-        return members_of.select("doc_id", F.col("rep").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+def checked(links: DataFrame, good: DataFrame | None, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """good(x, l) and what of links(x, l, same, forest) is verified: each text's best link, then the forest, then all
+    others, as far as they would join two components."""
     ids = links.select(F.explode(F.array("x", "l")).alias("doc_id")).distinct()
     texts = stored(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))  # only texts that have a link are read again
     verified = lambda pairs: stored(similarities(pairs.select("x", "l"), texts, idf).filter(F.col("similarity") >= threshold).select("x", "l"))
     ends = links.select(F.explode(F.array(F.struct(F.col("x").alias("id"), "same", "forest", "l", "x"), F.struct(F.col("l").alias("id"), "same", "forest", "l", "x"))).alias("e")).select("e.*")
     best = ends.groupBy("id").agg(F.max_by(F.struct("x", "l"), F.struct("same", "forest", -F.col("l"), -F.col("x"))).alias("p")).select("p.x", "p.l").distinct()
     best = checkpointed(best)
-    good = verified(best)
+    good = verified(best) if good is None else checkpointed(good.union(verified(best)))
     tried = best
     for rest in (links.filter("forest"), links):
         of = components(good, "x", "l")
@@ -314,7 +359,28 @@ def near_duplicates(df: DataFrame, text: str = "text", threshold: float = 0.8, a
         rest = checkpointed(rest.filter(F.coalesce("cx", "x") != F.coalesce("cl", "l")).select("x", "l"))
         if not rest.isEmpty():
             good, tried = checkpointed(good.union(verified(rest))), tried.union(rest)
+    return good
+
+
+def near_duplicates(df: DataFrame, text: str = "text", threshold: float = 0.8, agree: float = 0.62, chunk: int = 1024) -> DataFrame:
+    """doc_id, class_id, n_links of every document. agree: share of samples that must agree before texts are compared;
+    it lies three standard errors below the threshold."""
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    idf, _ = document_frequencies(docs)
+    signed = stored(signatures(docs, idf))
+    firsts = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    members_of = signed.select("doc_id", "digest").distinct().join(firsts, "digest").select("doc_id", "rep")
+    alone = signed.filter(F.size("sig") > 0).groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "packed")).alias("s")).select("s.*")
+    rows = buckets(alone, chunk)
+    links = checkpointed(candidates(alone, agree, chunk, rows))
+    good = df.sparkSession.createDataFrame([], "x long, l long") if links.isEmpty() else checked(links, None, docs, idf, threshold)
     of = components(good, "x", "l")
+    packed = signed.filter("packed IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "packed")).alias("s")).select("s.*")
+    rest = left_over(rows, packed, of, agree, chunk).join(links.select("x", "l"), ["x", "l"], "left_anti")  # links of two components have failed
+    rest = checkpointed(rest)
+    if not rest.isEmpty():
+        good = checked(rest, good, docs, idf, threshold)
+        of = components(good, "x", "l")
     counts = good.distinct().select(F.explode(F.array("x", "l")).alias("__n")).groupBy("__n").agg(F.count(F.lit(1)).alias("n_links"))
     known = of.join(counts, F.col("node") == F.col("__n"))
     out = members_of.join(known, F.col("rep") == F.col("node"), "left")

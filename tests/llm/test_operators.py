@@ -154,6 +154,22 @@ def test_many_copies_send_few_links(spark):
     assert len({r.class_id for r in neardup.near_duplicates(df).collect()}) <= 3
 
 
+def test_split_buckets_lose_no_pair(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sig = rng.integers(1, 1 << 62, (64, neardup.BANDS * neardup.ROWS))
+    sig[:, :28] = sig[0, :28]  # seven bands that all share, but too few samples to agree
+    sig[1::2, 28::4] = sig[::2, 28::4]  # twins agree in 33 of 48, and share no other band
+    rows = [(i, s.tolist(), bytearray((s.astype(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes())) for i, s in enumerate(sig)]
+    df = spark.createDataFrame(rows, "doc_id long, sig array<bigint>, packed binary")
+    of = components(spark.createDataFrame([(0, 1)], "a long, b long"))
+    buckets = neardup.buckets(df, 8)
+    left = {(r.x, r.l) for r in neardup.left_over(buckets, df, of, 0.62, 8).collect()}
+    assert left == {(i + 1, i) for i in range(2, 64, 2)}  # all twins but those that are one component already
+    assert {(r.x, r.l) for r in neardup.candidates(df, 0.62, 8).collect()} < left | {(1, 0)}  # parts alone miss some
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 101), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
