@@ -13,9 +13,9 @@
    text's three best, so a few links for each text however large the group is.
 4. Links are verified on whole texts: weighted (or plain) Jaccard similarity of at least `threshold`. Each text's best link comes
    first, then what would join two components: forests, then all others.
-5. Texts in different parts of a split bucket have not met so far. `left_over` compares every part with every other one;
-   pairs that agree well enough and still lie in two components are verified likewise (a bucket that has become one
-   component has none). Classes are the connected components.
+5. Texts in different parts of a split bucket have not met so far, and in a part most pairs were left out. `left_over`
+   compares all texts of each bucket, part by part; pairs that agree well enough and still lie in two components are
+   verified likewise (a bucket that has become one component has none). Classes are the connected components.
 
 Defined results: a class is named by its smallest doc_id; n_links counts the links of the text's first copy that were
 verified on the way to its class (not all its near copies) and is 0 for texts without near copies; null and empty texts
@@ -257,13 +257,13 @@ def candidates(sigs: DataFrame, agree: float, chunk: int = 1024, rows: DataFrame
     return found.groupBy("x", "l").agg(F.max("same").alias("same"), F.max("forest").alias("forest"))
 
 
-def left_over(rows: DataFrame, packed: DataFrame, of: DataFrame, agree: float, chunk: int = 1024, over: int | None = None) -> DataFrame:
-    """All links (x, l, same, forest) between texts of two components that share a bucket of more than `over` (`chunk`)
-    texts: every part of a bucket meets itself and every other one. rows: `buckets`; packed(doc_id, packed);
-    of(node, component), texts without a component are their own."""
+def left_over(rows: DataFrame, packed: DataFrame, of: DataFrame, agree: float, chunk: int = 1024) -> DataFrame:
+    """All links (x, l, same, forest) between texts of two components that share a bucket: every part of a bucket meets
+    itself and every other one. rows: `buckets`; packed(doc_id, packed); of(node, component), texts without a component
+    are their own. In an unsplit bucket of four texts a text's three best partners are all of them, so no link is left."""
     n_samples = BANDS * ROWS
     least = int(np.ceil(agree * n_samples))
-    rows = rows.filter(F.col("n") > (chunk if over is None else over)).join(of, F.col("x") == F.col("node"), "left").select("key", "n", "x", F.coalesce("component", "x").alias("c"))
+    rows = rows.filter(F.col("n") > min(chunk, 4)).join(of, F.col("x") == F.col("node"), "left").select("key", "n", "x", F.coalesce("component", "x").alias("c"))
     apart = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
     parts = F.ceil(F.col("n") / chunk)
     rows = rows.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("x"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))

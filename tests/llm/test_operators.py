@@ -154,6 +154,39 @@ def test_many_copies_send_few_links(spark):
     assert len({r.class_id for r in neardup.near_duplicates(df).collect()}) <= 3
 
 
+def classes_of_all_pairs(df, rows, threshold=0.8, least=30):
+    """The class of each text, out of all pairs that share a band, agree in `least` samples and are similar enough."""
+    import numpy as np
+    import pyarrow as pa
+
+    idf, _ = neardup.document_frequencies(df)
+    sig = {r.doc_id: np.array(r.sig) for r in neardup.signatures(df, idf).collect()}
+    known = {i: dict(zip(*(x.tolist() for x in neardup.features(pa.array([t]), idf)), strict=True)) for i, t in rows}
+    of = {i: i for i in known}
+    for a, b in itertools.combinations(sorted(known), 2):
+        same = sig[a] == sig[b]
+        if same.sum() < least or not same.reshape(neardup.BANDS, neardup.ROWS).all(1).any():
+            continue
+        x, y = known[a], known[b]
+        shared = sum(min(x[h], y[h]) for h in x.keys() & y.keys())
+        n = len(x.keys() & y.keys())
+        if max(shared / (sum(x.values()) + sum(y.values()) - shared), n / (len(x) + len(y) - n)) >= threshold:
+            low, high = sorted((of[a], of[b]))
+            of = {i: low if c == high else c for i, c in of.items()}
+    return of
+
+
+def framed(rng, n, lengths, frame=100):
+    """n texts of one frame, in each of which a run of words (of one of `lengths`) is its own."""
+    base = prose(rng, frame).split()
+    out = []
+    for i in range(n):
+        k = rng.choice(lengths)
+        at = rng.randrange(frame - k)
+        out.append((i, " ".join([*base[:at], *(f"w{i}x{j}" for j in range(k)), *base[at + k :]])))
+    return out
+
+
 def test_split_buckets_lose_no_pair(spark):
     import numpy as np
 
@@ -170,6 +203,16 @@ def test_split_buckets_lose_no_pair(spark):
     assert {(r.x, r.l) for r in neardup.candidates(df, 0.62, 8).collect()} < left | {(1, 0)}  # parts alone miss some
 
 
+def test_links_beyond_the_three_best_are_tried(spark):
+    rng = random.Random(12)
+    rows = framed(rng, 150, [2, 3, 5, 6, 7])  # similarities spread around the threshold
+    rows += [(2000 + i, prose(rng, 100)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = classes_of_all_pairs(df, rows)
+    assert 5 < sum(expected[i] == i for i in range(150)) < 145
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == expected
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 101), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
