@@ -222,12 +222,12 @@ def graph_wcc(spark, d):
 
 @query()
 def graph_cycle_count(spark, d):
-    return graph.cycle_counts(nodes_of(spark, d), edges_of(spark, d, True)).select("cycle_count")
+    return graph.cycle_counts(nodes_of(spark, d), edges_of(spark, d)).select("cycle_count")
 
 
 @query()
 def coupling_topology(spark, d):
-    df = graph.coupling_topology(nodes_of(spark, d).select("id"), edges_of(spark, d, True))
+    df = graph.coupling_topology(nodes_of(spark, d).select("id"), edges_of(spark, d))
     return df.withColumn("top_hubs", F.array_join(F.transform("top_hubs", lambda h: F.concat_ws("=", h["path"], h["out_degree"])), ","))
 
 
@@ -415,7 +415,7 @@ def well_connected(spark, d):
 
 
 def _touched(spark, d) -> tuple[DataFrame, DataFrame]:
-    e = edges_of(spark, d, True)
+    e = edges_of(spark, d)
     return e.select(F.explode(F.array("source", "target")).alias("id")).distinct(), e
 
 

@@ -55,6 +55,25 @@ def test_components_and_empty_graph(spark):
     assert {r.component for r in found} == {"n00", "z"}
 
 
+def test_graph_queries_see_all_lines(spark, tmp_path):
+    from driftlattice import queries
+
+    orders = {1: [1, 2, 3, 1], 2: [4, 5, 6, 4], 3: [3, 4], 4: [7]}  # two triangles, a link between them, a node alone
+    lines = [(o, n, p, 1.0) for o, ps in orders.items() for n, p in enumerate(ps, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, "b", "t", i) for i in range(1, 8)], "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert run("graph_cycle_count")[0].cycle_count == 2
+    row = run("coupling_topology")[0]
+    assert (row.node_count, row.edge_count, row.cycle_count, row.component_count) == (7, 7, 2, 2)
+    for name in ("leiden_partition", "leiden_weighted", "leiden_cpm", "leiden_warm_start", "detect_boundaries"):
+        groups: dict = {}
+        for node, community, *_ in run(name):
+            groups.setdefault(community, set()).add(node)
+        assert sum(map(len, groups.values())) == 6, name
+        assert name == "leiden_cpm" or sorted(map(sorted, groups.values())) == [["b/t/1", "b/t/2", "b/t/3"], ["b/t/4", "b/t/5", "b/t/6"]], name
+
+
 def test_path_order_of_hubs(spark):
     top = graph.top_hubs(nodes(spark, "a-b/x", "a/x"), edges(spark), 1).head()
     assert top.id == "a/x"
