@@ -1,8 +1,8 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
 1. `character_model`: counts of character triples in the words of every text (a-z, a border, all else).
-2. Words that may be disguised (a look-alike character beside letters, a letter three times in a row, letters spaced
-   out one by one) are decoded: each observed character opens the letters it may stand for, a repeated one may stand
+2. Words that may be disguised (a look-alike character beside letters or at the end, look-alikes alone unless they are a
+   number, a letter three times in a row, four letters and more spaced out one by one) are decoded: each observed character opens the letters it may stand for, a repeated one may stand
    for nothing, spaced letters may hold word borders; Viterbi finds the cheapest reading under the character model.
    Other words have one reading only, themselves.
 3. `fit` learns a word list from labelled rows: whole words and word starts that toxic texts hold and clean ones do
@@ -36,8 +36,9 @@ CODE[0x41:0x5B] = CODE[0x61:0x7B] = np.arange(1, 27)
 CODE[0x80:] = OTHER
 #: What a character may stand for besides itself.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
+TAIL = "!$|+"  # look-alikes that may also be punctuation at a word's end
 EDGE = ".,;:?\"'()[]{}<>%&#*-_=~^`/\\…«»¿¡"
-SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+€]|[0-9@$!|+€][^\W\d_]|([^\W\d_])\1\1")
+SUSPECT = re.compile(r"^[0-9@$!|+€]*[@$!|+€][0-9@$!|+€]*$|[^\W\d_][0-9@$!|+€]|[0-9@$!|+€][^\W\d_]|([^\W\d_])\1\1")  # numbers stay numbers
 DISGUISE, REPEAT, BREAK = 1.0, 1.5, 4.0  # costs, in nats
 PREFIXES = (4, 5, 6)
 KEPT_WORDS, PLACES = 300_000, 1 << 20
@@ -72,8 +73,9 @@ def code(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else OTHER if c.isalpha() else BORDER
 
 
-def restore(observed: str, cost: list, spaced: bool = False) -> str:
-    """The cheapest reading of a word (or of letters spaced out) under the character model."""
+def restorations(observed: str, cost: list, least: int, spaced: bool = False) -> list[str]:
+    """The cheapest readings of the first `least`, `least` + 1, ... and of all characters under the character model."""
+    out = []
     paths = {(BORDER, BORDER, ""): (0.0, "")}  # last two codes and the last letter -> cost, reading
     for i, seen in enumerate(observed):
         after: dict = {}
@@ -94,13 +96,22 @@ def restore(observed: str, cost: list, spaced: bool = False) -> str:
                     if key not in after or value < after[key][0]:
                         after[key] = (value, text)
         paths = after
-    return min(((total + cost[a][b][BORDER], reading) for (a, b, _), (total, reading) in paths.items()), default=(0, ""))[1]
+        if i + 1 >= least:
+            out.append(min((total + cost[a][b][BORDER], reading) for (a, b, _), (total, reading) in paths.items())[1])
+    return out
+
+
+def restore(observed: str, cost: list, spaced: bool = False) -> str:
+    """The cheapest reading of a word (or of letters spaced out) under the character model."""
+    return restorations(observed, cost, len(observed), spaced)[0] if observed else ""
 
 
 def spaced_runs(text: str) -> list[str]:
     """Letters (or look-alikes) that stand alone, four or more in a row, joined."""
     out, run = [], []
     for w in re.split(r"[\s._\-*]+", text):
+        w = w.strip(EDGE)
+        w = w.rstrip(TAIL) or w  # 't!' is a 't'
         if len(w) == 1 and (w.isalpha() or w in LOOKS):
             run.append(w)
             continue
@@ -121,10 +132,14 @@ class Restorer:
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def readings(self, token: str) -> tuple[str, ...]:
-        low = token.lower().rstrip(EDGE + "!$|+").lstrip(EDGE)
-        words = re.findall(r"[^\W\d_]+", low)
-        if SUSPECT.search(low):
-            words += re.findall(r"[^\W\d_]+", restore(low, self.cost))
+        whole = token.lower().rstrip(EDGE + TAIL).lstrip(EDGE)
+        words = re.findall(r"[^\W\d_]+", whole)
+        if SUSPECT.search(whole):
+            words += re.findall(r"[^\W\d_]+", restore(whole, self.cost))
+        full = token.lower().strip(EDGE)
+        if len(full) > len(whole):  # any part of the tail may belong to the word
+            for reading in restorations(full, self.cost, len(whole) + 1):
+                words += re.findall(r"[^\W\d_]+", reading)
         found = tuple(dict.fromkeys(words if self.weights is None else (w for w in words if any(f in self.weights for f in features(w)))))
         if len(self.seen) >= KEPT_WORDS:
             self.seen.clear()
@@ -165,15 +180,20 @@ class Restorer:
 ALONE = np.zeros(256, bool)
 ALONE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *map(ord, "@$!|+")]] = True
 ALONE[0x80:] = True
+INSIDE = ALONE.copy()
+INSIDE[[*map(ord, TAIL)]] = False
 
 
 def may_be_spaced(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Which rows hold four characters that stand alone one after the other (at most three bytes between them)."""
     word = ALONE[data]
-    starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]])) if len(data) else np.zeros(0, np.int64)
-    ends = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) if len(data) else np.zeros(0, np.int64)
-    single = ends - starts < 4  # one character has up to four bytes
-    one = single & ((ends == starts) | (data[starts] >= 0x80)) if len(data) else single
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offs] = True  # texts are apart
+    starts = np.flatnonzero(word & (edge[:-1] | ~np.concatenate([[False], word[:-1]]))) if len(data) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(word & (edge[1:] | ~np.concatenate([word[1:], [False]]))) if len(data) else np.zeros(0, np.int64)
+    seen = np.cumsum(INSIDE[data])
+    more = seen[ends] - seen[starts] if len(data) else ends - starts  # bytes after the first, without a tail of look-alikes
+    one = (more == 0) | ((more < 4) & (data[starts] >= 0x80)) if len(data) else more == 0  # one character has up to four bytes
     run = one[:-3] & one[1:-2] & one[2:-1] & one[3:] if len(one) > 3 else np.zeros(0, bool)
     out = np.zeros(len(offs) - 1, bool)
     out[np.searchsorted(offs, starts[: len(run)][run], side="right") - 1] = True

@@ -315,6 +315,18 @@ def test_restoring():
     assert toxicity.spaced_runs("say i d i o t now") == ["idiot"] and toxicity.spaced_runs("a b c") == []
 
 
+def test_restoring_at_the_end_of_words():
+    import numpy as np
+    import pyarrow as pa
+
+    known = toxicity.Restorer(np.full((28, 28, 28), 3.0))
+    for token, word in {"a$$": "ass", "shi+": "shit", "pus$": "puss", "@$$": "ass", "(a$$).": "ass", "shi+!": "shit", "a$$!!!": "ass"}.items():
+        assert word in known.readings(token), token
+    assert known.readings("plain!")[0] == "plain" and known.readings("455") == () and known.readings("") == ()
+    assert toxicity.spaced_runs("s h i t!") == toxicity.spaced_runs('"s, h, i, t"') == ["shit"]
+    assert [x for _, _, x in toxicity.texts(pa.array(["s h i t!", "$ h i t!", "no such run", "", None]))] == [True, True, False, False, False]
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/é b", "<p>x"), (2, "u2", "<p>x"), (3, "u3", None), (4, "u4", ""), (None, None, "null id"), (6, "u6", "y" * 300_000), (7, "u", "ü"), (7, "u", "ü")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
