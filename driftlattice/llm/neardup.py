@@ -303,8 +303,8 @@ def left_over(rows: DataFrame, packed: DataFrame, of: DataFrame, agree: float, c
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, rows_per_key: int = 512) -> DataFrame:
-    """pairs(x, l) with similarity, the larger one of weighted Jaccard and Jaccard, so that no pair of either kind at the
-    threshold is lost. texts(doc_id, text). A partner of many texts is spread over keys of about `rows_per_key` rows."""
+    """pairs(x, l) with similarity, the larger one of weighted Jaccard and Jaccard. Only pairs that weighted samples brought
+    together come here, so one that reaches the threshold by plain Jaccard alone may be missing. texts(doc_id, text). A partner of many texts is spread over keys of about `rows_per_key` rows."""
     bounded_batches(pairs.sparkSession)
     bc = pairs.sparkSession.sparkContext.broadcast(idf)
     n = pairs.groupBy("l").agg(F.ceil(F.count(F.lit(1)) / rows_per_key).cast("int").alias("parts"))
