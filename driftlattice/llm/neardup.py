@@ -4,32 +4,32 @@
    is shared by all words that hash to it, so a relative frequency is too large by at most the mean number of distinct
    words over `buckets`, whatever the number of documents.
 2. A shingle is five words in a row (all words of a shorter text); its weight is its count in the text times the mean
-   inverse document frequency of its words. `signatures` draws bands x rows consistent weighted samples (Ioffe's
-   improved scheme): two texts share a sample with a probability of their weighted Jaccard similarity.
-3. Equal texts form one class at once, by digest; what follows is about different texts. Texts that share a band meet
-   in a bucket. A bucket of more than `chunk` texts is split by a further sample (similar texts stay together), and what
-   is still larger by chance, otherwise for each band. In a part, agreement of samples estimates similarities; of all
-   pairs that agree well enough it sends the strongest ones that join its texts (a maximum spanning forest) and each
-   text's three best, so a few links for each text however large the group is.
-4. Links are verified on whole texts: weighted (or plain) Jaccard similarity of at least `threshold`. Each text's best link comes
-   first, then what would join two components: forests, then all others.
-5. Texts in different parts of a split bucket have not met so far, and in a part most pairs were left out. `left_over`
-   compares all texts of each bucket, part by part; pairs that agree well enough and still lie in two components are
-   verified likewise (a bucket that has become one component has none). Classes are the connected components.
-
-Defined results: a class is named by its smallest doc_id; n_links counts the links of the text's first copy that were
-verified on the way to its class (not all its near copies) and is 0 for texts without near copies; null and empty texts
-equal each other and nothing else, as do texts without words that are equal; repeated rows are copies; rows with a null
-doc_id are left out; an empty table gives no rows.
+   inverse document frequency of its words (at least 1, so that words of all documents still count). `signatures` draws
+   bands x rows consistent weighted samples (Ioffe's improved scheme): two texts share a sample with a probability of
+   their weighted Jaccard similarity.
+3. Equal texts form one node at once, by digest; what follows is about different texts. Texts that share a band meet in
+   a bucket. First pass (`candidates`): in parts of at most about `chunk` texts, the strongest pairs that join the texts
+   of a part (a maximum spanning forest by agreement of samples), so fewer links than texts however large a group is.
+   They are verified on whole texts, and most copies become components at once.
+4. Second pass (`crossing`): of each bucket whose texts still lie in two or more components, every part meets itself
+   and every other part in a block. A task compares the samples of all pairs of a block, verifies each pair of two
+   components that agrees well enough on the shingles of the whole texts, and sends only the verified links that join
+   two components, so pairs are never rows. A pair that shares several bands is looked at in the first one.
+5. Classes are the connected components. No pair that shares a band and agrees in `agree` of the samples is left out.
+
+Similarity is the larger one of weighted Jaccard and Jaccard. Candidates come from weighted samples.
+
+Defined results: a class is named by its smallest doc_id; n_links counts the links of the text that were verified on the
+way to its class (not all its near copies) and is 0 for texts without near copies; null and empty texts equal each other
+and nothing else, as do texts without words that are equal; repeated rows are copies; different texts under one doc_id
+are nodes of their own, and give a row each; rows with a null doc_id are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlattice.llm.components import components
@@ -82,7 +82,7 @@ def document_frequencies(df: DataFrame, text: str = "text", buckets: int = BUCKE
     docs = int(n[place == -1].sum())
     counts = np.zeros(buckets)
     counts[place[place >= 0]] = n[place >= 0]
-    return np.log((docs + 1) / (counts + 1)) + 0.1, docs
+    return np.log((docs + 1) / (counts + 1)) + 1.0, docs
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,172 +145,251 @@ def samples(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n_rows: int, n:
     return out
 
 
-def signatures(df: DataFrame, idf: np.ndarray, text: str = "text", n: int = BANDS * ROWS) -> DataFrame:
-    """doc_id, digest of the text, and its samples (none for a text without words), whole and 32 bits of each."""
+def digest_of(text: Column) -> Column:
+    """16 bytes that tell texts apart; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def signatures(df: DataFrame, idf: np.ndarray, n: int = BANDS * ROWS) -> DataFrame:
+    """df(doc_id, digest, text) as doc_id, digest, its number of shingles, and its samples (none for a text without
+    words), whole and 32 bits of each."""
     bc = df.sparkSession.sparkContext.broadcast(idf)  # 2^17 numbers at any size
 
     def run(batches):
         for b in batches:
-            for i, j, data, offs in chunks(b.column(1), 2 << 20):
+            for i, j, data, offs in chunks(b.column(2), 2 << 20):
                 row, h, w = shingles(data, offs, bc.value)
                 sig = samples(row, h, w, j - i, n).view(np.int64)
-                has = np.bincount(row, minlength=j - i) > 0
-                digests = [hashlib.blake2b(data[p:q], digest_size=16).digest() for p, q in zip(offs, offs[1:], strict=False)]
+                sizes = np.bincount(row, minlength=j - i)
+                has = sizes > 0
                 ends = np.concatenate([[0], np.cumsum(has * n)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sig[has].reshape(-1), pa.int64()))
                 packed = [x.tobytes() if fine else None for x, fine in zip((sig.view(U) >> U(32)).astype(np.uint32), has, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(digests, pa.binary()), lists, pa.array(packed, pa.binary())], names=["doc_id", "digest", "sig", "packed"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(sizes, pa.int64()), lists, pa.array(packed, pa.binary())], names=["doc_id", "digest", "n_shingles", "sig", "packed"])
 
-    return df.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, digest binary, sig array<bigint>, packed binary")
+    return df.select("doc_id", "digest", "text").filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, digest binary, n_shingles long, sig array<bigint>, packed binary")
 
 
-def spanning(same: np.ndarray, least: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Of texts whose samples agree `same` times, pairs (i, j, agreements) with at least `least`: a maximum spanning
-    forest, and each text's three best besides."""
+def spanning(same: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Of texts whose samples agree `same` times, a maximum spanning forest of the pairs (i, j) with at least `least`."""
     n = len(same)
     if n == 2:
-        return ([(0, 1, int(same[0, 1]))] if same[0, 1] >= least else []), []
+        return [(0, 1)] if same[0, 1] >= least else []
     np.fill_diagonal(same, 0)
-    best = np.argsort(-same.astype(np.int16), axis=1, kind="stable")[:, :3] if n < 64 else np.argpartition(same, -3, axis=1)[:, -3:]
     forest, of = [], np.arange(n)
     while True:
         outside = np.where(of[:, None] == of[None, :], 0, same)
         to = outside.argmax(1)
         value = outside[np.arange(n), to]
-        rows = np.lexsort((np.arange(n), -value.astype(np.int64)))
         joined, seen = False, set()
-        for i in rows.tolist():  # the strongest link of each part to another one
+        for i in np.lexsort((np.arange(n), -value.astype(np.int64))).tolist():  # the strongest link of each tree to another
             if value[i] < least:
                 break
             if of[i] in seen:
                 continue
             seen.add(of[i])
-            forest.append((i, int(to[i]), int(value[i])))
-        for i, j, _ in forest[-len(seen) :] if seen else []:
+            forest.append((i, int(to[i])))
+        for i, j in forest[-len(seen) :] if seen else []:
             a, b = of[i], of[j]
             if a != b:
                 of[of == max(a, b)] = min(a, b)
                 joined = True
         if not joined:
-            break
-    kin = [(i, int(j), int(same[i, j])) for i in range(n) for j in best[i] if same[i, j] >= least]
-    return forest, kin
-
-
-def links_within(rows: DataFrame, agree: float) -> DataFrame:
-    """(x, l, same, forest) out of parts: rows(part, x, sig), of which those of a part stand together."""
-    n_samples = BANDS * ROWS
-    least = int(np.ceil(agree * n_samples))
-
-    def emit(ids, sigs, out):
-        if len(ids) < 2:
-            return
-        x = np.frombuffer(b"".join(sigs), np.uint32).reshape(len(ids), n_samples)
-        same = np.zeros((len(ids), len(ids)), np.uint8)
-        for k in range(0, len(ids), 32):
-            same[k : k + 32] = (x[k : k + 32, None, :] == x[None, :, :]).sum(2)
-        for kind, pairs in zip((True, False), spanning(same, least), strict=True):
-            out.extend((max(ids[i], ids[j]), min(ids[i], ids[j]), v, kind) for i, j, v in pairs)
+            return forest
 
-    def run(batches):
-        part, ids, sigs = None, [], []
-        for b in batches:
-            out: list = []
-            parts = b.column(0).to_pylist()
-            for p, x, sig in zip(parts, b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if p != part:
-                    emit(ids, sigs, out)
-                    part, ids, sigs = p, [], []
-                ids.append(x)
-                sigs.append(sig)
-            yield found(out)
-        out = []
-        emit(ids, sigs, out)
-        yield found(out)
-
-    def found(out):
-        columns = [*zip(*out, strict=True)] or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["x", "l", "same", "forest"])
-
-    return rows.mapInArrow(run, "x long, l long, same int, forest boolean")
-
-
-def buckets(sigs: DataFrame, chunk: int) -> DataFrame:
-    """(key, n, fine, band, x): the texts x of sigs(doc_id, sig) by band, where n > 1 texts share it; `fine` splits what is over `chunk`."""
-    n = BANDS * ROWS
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[F.get("sig", b * ROWS + i) for i in range(ROWS)]).alias("key"), F.get("sig", (b * ROWS + ROWS + 1) % n).alias("next")) for b in range(BANDS)])
-    rows = sigs.select(F.col("doc_id").alias("x"), F.explode(bands).alias("k")).select("k.band", "k.key", "k.next", "x")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    fine = F.when(F.col("n") > chunk, F.xxhash64("key", "next")).otherwise(F.col("key"))
-    return checkpointed(rows.join(sizes, "key").select("key", "n", fine.alias("fine"), "band", "x"))
 
+def groups(batches, keys: int):
+    """Runs of rows with equal first `keys` columns, each as the lists of its other columns."""
+    key, kept = None, []
+    for b in batches:
+        for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if r[:keys] != key:
+                if len(kept) > 1:
+                    yield key, [*zip(*kept, strict=True)]
+                key, kept = r[:keys], []
+            kept.append(r[keys:])
+    if len(kept) > 1:
+        yield key, [*zip(*kept, strict=True)]
 
-def candidates(sigs: DataFrame, agree: float, chunk: int = 1024, rows: DataFrame | None = None) -> DataFrame:
-    """Links (x, l, same, forest) between texts sigs(doc_id, sig, packed) that share a band. rows: their `buckets`."""
-    rows = buckets(sigs, chunk) if rows is None else rows
+
+def least_of(agree: float) -> int:
+    return int(np.ceil(agree * BANDS * ROWS))
+
+
+def unpacked(packed) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), np.uint32).reshape(len(packed), BANDS * ROWS)
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(key, band, next, n, size, x): the nodes x of nodes(node, sig, n_shingles) by band, where n > 1 share it; size sums
+    up their shingles, next is a further sample. Keys are made of what `packed` holds of a sample."""
+    n = BANDS * ROWS
+    half = lambda k: F.shiftrightunsigned(F.get(F.col("sig"), F.lit(k)), 32)
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[half(b * ROWS + i) for i in range(ROWS)]).alias("key"), half((b * ROWS + ROWS + 1) % n).alias("next")) for b in range(BANDS)])
+    rows = nodes.select(F.col("node").alias("x"), "n_shingles", F.explode(bands).alias("k")).select("k.band", "k.key", "k.next", "x", "n_shingles")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size")).filter("n > 1")
+    return checkpointed(rows.drop("n_shingles").join(sizes, "key").select("key", "band", "next", "n", "size", "x"))
+
+
+def candidates(rows: DataFrame, packed: DataFrame, agree: float, chunk: int = 1024) -> DataFrame:
+    """Links (x, l) that join the texts of a part of rows: `buckets`. A bucket of more than `chunk` texts is split by a
+    further sample, so that similar texts stay together, and what is still larger at random: `crossing` compares the
+    parts. packed(node, packed)."""
+    least = least_of(agree)
+    rows = rows.withColumn("fine", F.when(F.col("n") > chunk, F.xxhash64("key", "next")).otherwise(F.col("key")))
     finer = rows.groupBy("fine").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
     rows = rows.join(finer, "fine").select(F.xxhash64("fine", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("x", "band"), F.col("parts")))).alias("part"), "x")
-    packed = sigs.select(F.col("doc_id").alias("__id"), "packed")
-    rows = rows.join(packed, F.col("x") == F.col("__id")).select("part", "x", F.col("packed").alias("sig"))
-    rows = rows.repartition("part").sortWithinPartitions("part", "x")
-    found = links_within(rows, agree)
-    return found.groupBy("x", "l").agg(F.max("same").alias("same"), F.max("forest").alias("forest"))
-
-
-def left_over(rows: DataFrame, packed: DataFrame, of: DataFrame, agree: float, chunk: int = 1024) -> DataFrame:
-    """All links (x, l, same, forest) between texts of two components that share a bucket: every part of a bucket meets
-    itself and every other one. rows: `buckets`; packed(doc_id, packed); of(node, component), texts without a component
-    are their own. In an unsplit bucket of four texts a text's three best partners are all of them, so no link is left."""
-    n_samples = BANDS * ROWS
-    least = int(np.ceil(agree * n_samples))
-    rows = rows.filter(F.col("n") > min(chunk, 4)).join(of, F.col("x") == F.col("node"), "left").select("key", "n", "x", F.coalesce("component", "x").alias("c"))
+    rows = rows.join(packed, F.col("x") == F.col("node")).select("part", "x", "packed")
+
+    def run(batches):
+        for _, (ids, sigs) in groups(batches, 1):
+            x = unpacked(sigs)
+            same = np.zeros((len(ids), len(ids)), np.uint8)
+            for k in range(0, len(ids), 32):
+                same[k : k + 32] = (x[k : k + 32, None, :] == x[None, :, :]).sum(2)
+            pairs = spanning(same, least)
+            yield pa.RecordBatch.from_arrays([pa.array([f(ids[i], ids[j]) for i, j in pairs], pa.int64()) for f in (max, min)], names=["x", "l"])
+
+    return rows.repartition("part").sortWithinPartitions("part", "x").mapInArrow(run, "x long, l long").distinct()
+
+
+def agreeing(ids: np.ndarray, own: np.ndarray, comp: np.ndarray, sigs: np.ndarray, band: int, least: int, step: int = 512):
+    """(first row, mask of rows by all rows) of the pairs of a block to verify: they agree in `least` samples, lie in two
+    components and (in a block of two parts) two parts, and share no band before this one."""
+    x = np.ascontiguousarray(sigs.T)
+    two = bool((own != own[0]).any())
+    for k in range(0, len(ids), step):
+        mine = slice(k, k + step)
+        same, before = np.zeros((len(ids[mine]), len(ids)), np.uint8), np.zeros((len(ids[mine]), len(ids)), bool)
+        for b in range(BANDS):
+            whole = None
+            for s in x[b * ROWS : (b + 1) * ROWS]:
+                equal = s[mine, None] == s[None, :]
+                same += equal
+                if b < band:
+                    whole = equal if whole is None else whole & equal
+            if whole is not None:
+                before |= whole
+        take = (same >= least) & (comp[mine, None] != comp[None, :]) & (ids[mine, None] > ids[None, :]) & ~before
+        if two:
+            take &= own[mine, None] != own[None, :]
+        yield k, take
+
+
+def blocks(rows: DataFrame, packed: DataFrame, of: DataFrame, chunk: int = 4096, shingles_per_part: int = 1 << 20) -> DataFrame:
+    """(key, lo, hi, band, x, own, c, packed): the texts of each bucket of three and more that spans two or more
+    components, in blocks of two parts. (A bucket of two has been settled by its one link.) of(node, component); texts
+    without a component are their own. A part has about `chunk` texts and `shingles_per_part` shingles at most."""
+    rows = rows.filter("n > 2").join(of, F.col("x") == F.col("node"), "left").select("key", "band", "n", "size", "x", F.coalesce("component", "x").alias("c"))
     apart = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    parts = F.ceil(F.col("n") / chunk)
+    parts = F.ceil(F.greatest(F.col("n") / chunk, F.col("size") / shingles_per_part))
     rows = rows.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("x"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "x", "own", "c")
-    rows = rows.join(packed.select(F.col("doc_id").alias("__id"), F.col("packed").alias("sig")), F.col("x") == F.col("__id")).select("block", "x", "own", "c", "sig")
-
-    def emit(ids, own, comp, sigs):
-        x = np.ascontiguousarray(np.frombuffer(b"".join(sigs), np.uint32).reshape(len(ids), n_samples).T)
-        ids, own, comp = np.array(ids, np.int64), np.array(own, np.int64), np.array(comp, np.int64)
-        within = bool((own == own[0]).all())
-        for k in range(0, len(ids), 512):
-            mine = slice(k, k + 512)
-            same = np.zeros((len(ids[mine]), len(ids)), np.uint8)
-            for s in x:
-                same += s[mine, None] == s[None, :]
-            take = (same >= least) & (comp[mine, None] != comp[None, :]) & (ids[mine, None] > ids[None, :])
-            if not within:
-                take &= own[mine, None] != own[None, :]
-            i, j = np.nonzero(take)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[mine][i]), pa.array(ids[j]), pa.array(same[i, j].astype(np.int32))], names=["x", "l", "same"])
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "band", "x", "own", "c")
+    return rows.join(packed, F.col("x") == F.col("node")).select("key", "lo", "hi", "band", "x", "own", "c", "packed")
+
+
+def flagged(rows: DataFrame, agree: float) -> DataFrame:
+    """The rows of `blocks` that have a pair to verify, out of samples alone."""
+    least = least_of(agree)
+    names = ["key", "lo", "hi", "band", "x", "own", "c", "packed"]
 
     def run(batches):
-        block, kept = None, []
+        for key, columns in groups(batches, 4):
+            ids, own, comp = (np.array(c, np.int64) for c in columns[:3])
+            hit = np.zeros(len(ids), bool)
+            for k, take in agreeing(ids, own, comp, unpacked(columns[3]), key[3], least):
+                hit[k : k + len(take)] |= take.any(1)
+                hit |= take.any(0)
+            at = np.flatnonzero(hit)
+            kept = [pa.array(np.full(len(at), v), pa.int64()) for v in key[:3]] + [pa.array(np.full(len(at), key[3]), pa.int32())]
+            kept += [pa.array(v[at]) for v in (ids, own, comp)] + [pa.array([columns[3][i] for i in at], pa.binary())]
+            yield pa.RecordBatch.from_arrays(kept, names=names)
+
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "band", "x").mapInArrow(run, "key long, lo long, hi long, band int, x long, own long, c long, packed binary")
+
+
+def crossing(rows: DataFrame, texts: DataFrame, idf: np.ndarray, agree: float, threshold: float) -> DataFrame:
+    """Verified links (x, l) that join two components, out of rows: `flagged` and texts(node, text)."""
+    bounded_batches(rows.sparkSession)
+    bc = rows.sparkSession.sparkContext.broadcast(idf)
+    least = least_of(agree)
+    both = rows.join(texts, F.col("x") == F.col("node")).select("key", "lo", "hi", "band", "x", "own", "c", "packed", "text")
+
+    def with_features(batches):
+        """Texts as their shingles, a batch at a time, so that a block holds no texts."""
         for b in batches:
-            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if r[0] != block:
+            hs, ws = [], []
+            for i, j, data, offs in chunks(b.column(8)):
+                row, h, w = shingles(data, offs, bc.value)
+                cuts = np.searchsorted(row, np.arange(1, j - i))
+                hs += np.split(h, cuts)
+                ws += np.split(w, cuts)
+            yield b, hs, ws
+
+    def run(batches):
+        key, kept = None, []
+        for b, hs, ws in with_features(batches):
+            for r in zip(*[c.to_pylist() for c in b.columns[:8]], hs, ws, strict=True):
+                if r[:4] != key:
                     if len(kept) > 1:
-                        yield from emit(*zip(*kept, strict=True))
-                    block, kept = r[0], []
-                kept.append(r[1:])
+                        yield verified(key[3], *zip(*kept, strict=True))
+                    key, kept = r[:4], []
+                kept.append(r[4:])
         if len(kept) > 1:
-            yield from emit(*zip(*kept, strict=True))
-
-    found = rows.repartition("block").sortWithinPartitions("block", "x").mapInArrow(run, "x long, l long, same int")
-    return found.distinct().withColumn("forest", F.lit(False))
+            yield verified(key[3], *zip(*kept, strict=True))
+
+    def verified(band, ids, own, comp, packed, hs, ws):
+        ids, own, comp = (np.array(c, np.int64) for c in (ids, own, comp))
+        links = joining(ids, own, comp, unpacked(packed), hs, ws, band, least, threshold)
+        return pa.RecordBatch.from_arrays([pa.array([v[k] for v in links], pa.int64()) for k in (0, 1)], names=["x", "l"])
+
+    return both.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "band", "x").mapInArrow(run, "x long, l long").distinct()
+
+
+def joining(ids, own, comp, sigs, hs, ws, band: int, least: int, threshold: float, most: int = 1 << 21) -> list[tuple[int, int]]:
+    """Of the pairs `agreeing` in a block, verified links that join what is not joined yet. hs, ws: shingles and weights
+    of each text; at most about `most` shingles of partners are compared at once."""
+    sizes = np.array([len(h) for h in hs])
+    offs = np.concatenate([[0], np.cumsum(sizes)])
+    weight = np.concatenate(ws)
+    names, place = np.unique(np.concatenate(hs), return_inverse=True)
+    total = np.add.reduceat(weight, offs[:-1])
+    known = np.zeros(len(names))
+    of, links = comp.copy(), []
+    for k, take in agreeing(ids, own, comp, sigs, band, least):
+        for i in np.flatnonzero(take.any(1)).tolist():
+            partners = np.flatnonzero(take[i])
+            i += k
+            known[place[offs[i] : offs[i + 1]]] = weight[offs[i] : offs[i + 1]]
+            partners = partners[of[partners] != of[i]]
+            cuts = np.searchsorted(np.cumsum(sizes[partners]), np.arange(most, int(sizes[partners].sum()), most))
+            for js in np.split(partners, np.unique(cuts)):
+                js = js[of[js] != of[i]]
+                if not len(js):
+                    continue
+                starts = np.cumsum(sizes[js]) - sizes[js]
+                at = np.repeat(offs[js] - starts, sizes[js]) + np.arange(sizes[js].sum())
+                common = known[place[at]]
+                shared = np.add.reduceat(np.minimum(common, weight[at]), starts)
+                n = np.add.reduceat((common > 0).astype(np.int64), starts)
+                similar = np.maximum(shared / (total[i] + total[js] - shared), n / (sizes[i] + sizes[js] - n)) >= threshold - 1e-9
+                for j in js[similar].tolist():
+                    if of[j] != of[i]:
+                        links.append((int(ids[i]), int(ids[j])))
+                        of[of == max(of[i], of[j])] = min(of[i], of[j])
+            known[place[offs[i] : offs[i + 1]]] = 0
+    return links
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, rows_per_key: int = 512) -> DataFrame:
-    """pairs(x, l) with similarity, the larger one of weighted Jaccard and Jaccard. Only pairs that weighted samples brought
-    together come here, so one that reaches the threshold by plain Jaccard alone may be missing. texts(doc_id, text). A partner of many texts is spread over keys of about `rows_per_key` rows."""
+    """pairs(x, l) with similarity, the larger one of weighted Jaccard and Jaccard. texts(node, text). A partner of many
+    texts is spread over keys of about `rows_per_key` rows."""
     bounded_batches(pairs.sparkSession)
     bc = pairs.sparkSession.sparkContext.broadcast(idf)
     n = pairs.groupBy("l").agg(F.ceil(F.count(F.lit(1)) / rows_per_key).cast("int").alias("parts"))
     spread = pairs.join(n, "l").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")))
-    one = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx"))
-    other = n.join(texts.select(F.col("doc_id").alias("l"), F.col("text").alias("tl")), "l").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    one = texts.select(F.col("node").alias("x"), F.col("text").alias("tx"))
+    other = n.join(texts.select(F.col("node").alias("l"), F.col("text").alias("tl")), "l").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
     both = spread.join(one, "x").select("x", "l", "part", "tx").join(other.select("l", "part", "tl"), ["l", "part"]).select("x", "l", "tx", "tl")
 
     def run(batches):
@@ -341,54 +420,51 @@ def features(text: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, w
 
 
-def checked(links: DataFrame, good: DataFrame | None, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """good(x, l) and what of links(x, l, same, forest) is verified: each text's best link, then the forest, then all
-    others, as far as they would join two components."""
-    ids = links.select(F.explode(F.array("x", "l")).alias("doc_id")).distinct()
-    texts = stored(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))  # only texts that have a link are read again
-    verified = lambda pairs: stored(similarities(pairs.select("x", "l"), texts, idf).filter(F.col("similarity") >= threshold).select("x", "l"))
-    ends = links.select(F.explode(F.array(F.struct(F.col("x").alias("id"), "same", "forest", "l", "x"), F.struct(F.col("l").alias("id"), "same", "forest", "l", "x"))).alias("e")).select("e.*")
-    best = ends.groupBy("id").agg(F.max_by(F.struct("x", "l"), F.struct("same", "forest", -F.col("l"), -F.col("x"))).alias("p")).select("p.x", "p.l").distinct()
-    best = checkpointed(best)
-    good = verified(best) if good is None else checkpointed(good.union(verified(best)))
-    tried = best
-    for rest in (links.filter("forest"), links):
-        of = components(good, "x", "l")
-        side = lambda c, name: of.select(F.col("node").alias(c), F.col("component").alias(name))  # noqa: E731,B023
-        rest = rest.select("x", "l").join(tried, ["x", "l"], "left_anti").join(side("x", "cx"), "x", "left").join(side("l", "cl"), "l", "left")
-        rest = checkpointed(rest.filter(F.coalesce("cx", "x") != F.coalesce("cl", "l")).select("x", "l"))
-        if not rest.isEmpty():
-            good, tried = checkpointed(good.union(verified(rest))), tried.union(rest)
-    return good
-
-
-def near_duplicates(df: DataFrame, text: str = "text", threshold: float = 0.8, agree: float = 0.62, chunk: int = 1024) -> DataFrame:
-    """doc_id, class_id, n_links of every document. agree: share of samples that must agree before texts are compared;
-    it lies three standard errors below the threshold."""
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def classes(docs: DataFrame, threshold: float, agree: float, chunk: int) -> DataFrame:
+    """docs(doc_id, digest, text) as (doc_id, digest, class_id, class_digest, n_links), a row for each text of a doc_id.
+    The class is named by its smallest doc_id, and by the smallest digest under it."""
     idf, _ = document_frequencies(docs)
     signed = stored(signatures(docs, idf))
-    firsts = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members_of = signed.select("doc_id", "digest").distinct().join(firsts, "digest").select("doc_id", "rep")
-    alone = signed.filter(F.size("sig") > 0).groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "packed")).alias("s")).select("s.*")
-    rows = buckets(alone, chunk)
-    links = checkpointed(candidates(alone, agree, chunk, rows))
-    good = df.sparkSession.createDataFrame([], "x long, l long") if links.isEmpty() else checked(links, None, docs, idf, threshold)
+    one = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "packed")).alias("s"))
+    nodes = stored(one.select(F.monotonically_increasing_id().alias("node"), "digest", "s.*"))  # a number for each text
+    rows = buckets(nodes.filter(F.size("sig") > 0))
+    packed = nodes.filter("packed IS NOT NULL").select("node", "packed")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(node, text): only texts that have a link are read again."""
+        known = nodes.select("node", "doc_id", "digest").join(ids.distinct(), "node", "left_semi")
+        return stored(docs.join(known, ["doc_id", "digest"]).dropDuplicates(["node"]).select("node", "text"))
+
+    links = checkpointed(candidates(rows, packed, agree))
+    texts = texts_of(links.select(F.explode(F.array("x", "l")).alias("node")))
+    good = checkpointed(similarities(links, texts, idf).filter(F.col("similarity") >= threshold - 1e-9).select("x", "l"))
+    found = stored(flagged(blocks(rows, packed, components(good, "x", "l"), chunk), agree))
+    if not found.isEmpty():
+        more = crossing(found, texts_of(found.select(F.col("x").alias("node"))), idf, agree, threshold)
+        good = checkpointed(good.union(more).distinct())
     of = components(good, "x", "l")
-    packed = signed.filter("packed IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "packed")).alias("s")).select("s.*")
-    rest = left_over(rows, packed, of, agree, chunk).join(links.select("x", "l"), ["x", "l"], "left_anti")  # links of two components have failed
-    rest = checkpointed(rest)
-    if not rest.isEmpty():
-        good = checked(rest, good, docs, idf, threshold)
-        of = components(good, "x", "l")
-    counts = good.distinct().select(F.explode(F.array("x", "l")).alias("__n")).groupBy("__n").agg(F.count(F.lit(1)).alias("n_links"))
-    known = of.join(counts, F.col("node") == F.col("__n"))
-    out = members_of.join(known, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def one_of_each(df: DataFrame, **options) -> DataFrame:
-    """df without near copies: of each class the row with the smallest doc_id. Rows with a null doc_id all stay."""
-    classes = near_duplicates(df, **options).filter("doc_id = class_id").select(F.col("doc_id").alias("__kept"))
-    known = df.join(classes, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return known.union(df.filter("doc_id IS NULL"))
+    counts = good.select(F.explode(F.array("x", "l")).alias("__n")).groupBy("__n").agg(F.count(F.lit(1)).alias("n_links"))
+    known = nodes.select("node", "digest", "doc_id").join(of.withColumnRenamed("node", "__of"), F.col("node") == F.col("__of"), "left")
+    known = known.join(counts, F.col("node") == F.col("__n"), "left").select(F.coalesce("component", "node").alias("component"), "digest", "doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    heads = known.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("head"))
+    known = known.join(heads, "component").select("digest", F.col("head.doc_id").alias("class_id"), F.col("head.digest").alias("class_digest"), "n_links")
+    return signed.select("doc_id", "digest").distinct().join(known, "digest").select("doc_id", "digest", "class_id", "class_digest", "n_links")
+
+
+def near_duplicates(df: DataFrame, text: str = "text", threshold: float = 0.8, agree: float = 0.62, chunk: int = 4096) -> DataFrame:
+    """doc_id, class_id, n_links of every document. agree: share of samples that must agree before texts are compared;
+    it lies three standard errors below the threshold. chunk: texts that a task compares with as many others at once;
+    classes don't depend on it."""
+    content = F.col(text).cast("string")
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(content).alias("digest"), content.alias("text"))
+    return classes(docs, threshold, agree, chunk).select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(df: DataFrame, text: str = "text", threshold: float = 0.8, agree: float = 0.62, chunk: int = 4096) -> DataFrame:
+    """df without near copies: of each class the text with the smallest doc_id. Rows with a null doc_id all stay."""
+    content = F.col(text).cast("string")
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(content).alias("digest"), content.alias("text"))
+    heads = classes(docs, threshold, agree, chunk).filter("doc_id = class_id AND digest = class_digest").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__head")).distinct()
+    own = df.withColumn("__digest", digest_of(content))
+    kept = own.join(heads, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__digest") == F.col("__head")), "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return kept.drop("__digest").union(df.filter("doc_id IS NULL"))

@@ -142,16 +142,20 @@ def test_consistent_weighted_samples_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - true) < 0.03
 
 
+def with_digest(df):
+    return df.select("doc_id", neardup.digest_of(F.col("text")).alias("digest"), "text")
+
+
 def test_many_copies_send_few_links(spark):
     rng = random.Random(1)
     base = prose(rng, 400).split()
     rows = [(i, " ".join(w if rng.random() > 0.004 else "zz" for w in base)) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     idf, _ = neardup.document_frequencies(df)
-    signed = neardup.signatures(df, idf)
-    links = neardup.candidates(signed.select("doc_id", "sig", "packed"), 0.62, chunk=64)
-    assert links.count() < 300 * 4 * neardup.BANDS
-    assert len({r.class_id for r in neardup.near_duplicates(df).collect()}) <= 3
+    nodes = neardup.signatures(with_digest(df), idf).withColumnRenamed("doc_id", "node")
+    links = neardup.candidates(neardup.buckets(nodes), nodes.select("node", "packed"), 0.62, chunk=64)
+    assert links.count() < 300 * neardup.BANDS
+    assert {r.class_id for r in neardup.near_duplicates(df, chunk=64).collect()} == {0}
 
 
 def classes_of_all_pairs(df, rows, threshold=0.8, least=30):
@@ -160,7 +164,7 @@ def classes_of_all_pairs(df, rows, threshold=0.8, least=30):
     import pyarrow as pa
 
     idf, _ = neardup.document_frequencies(df)
-    sig = {r.doc_id: np.array(r.sig) for r in neardup.signatures(df, idf).collect()}
+    sig = {r.doc_id: np.array(r.sig) for r in neardup.signatures(with_digest(df), idf).collect()}
     known = {i: dict(zip(*(x.tolist() for x in neardup.features(pa.array([t]), idf)), strict=True)) for i, t in rows}
     of = {i: i for i in known}
     for a, b in itertools.combinations(sorted(known), 2):
@@ -194,23 +198,53 @@ def test_split_buckets_lose_no_pair(spark):
     sig = rng.integers(1, 1 << 62, (64, neardup.BANDS * neardup.ROWS))
     sig[:, :28] = sig[0, :28]  # seven bands that all share, but too few samples to agree
     sig[1::2, 28::4] = sig[::2, 28::4]  # twins agree in 33 of 48, and share no other band
-    rows = [(i, s.tolist(), bytearray((s.astype(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes())) for i, s in enumerate(sig)]
-    df = spark.createDataFrame(rows, "doc_id long, sig array<bigint>, packed binary")
+    rows = [(i, 100, s.tolist(), bytearray((s.astype(np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes())) for i, s in enumerate(sig)]
+    df = spark.createDataFrame(rows, "node long, n_shingles long, sig array<bigint>, packed binary")
     of = components(spark.createDataFrame([(0, 1)], "a long, b long"))
-    buckets = neardup.buckets(df, 8)
-    left = {(r.x, r.l) for r in neardup.left_over(buckets, df, of, 0.62, 8).collect()}
-    assert left == {(i + 1, i) for i in range(2, 64, 2)}  # all twins but those that are one component already
-    assert {(r.x, r.l) for r in neardup.candidates(df, 0.62, 8).collect()} < left | {(1, 0)}  # parts alone miss some
+    for chunk, size in ((8, 1 << 20), (4096, 1 << 20), (4096, 900)):
+        found = neardup.flagged(neardup.blocks(neardup.buckets(df), df.select("node", "packed"), of, chunk, size), 0.62).collect()
+        assert {r.x for r in found} == set(range(2, 64))  # all twins but those that are one component already
+        assert {r.band for r in found} == {0}  # each pair in the first band that it shares
 
 
-def test_links_beyond_the_three_best_are_tried(spark):
+def test_links_beyond_the_strongest_are_tried(spark):
     rng = random.Random(12)
     rows = framed(rng, 150, [2, 3, 5, 6, 7])  # similarities spread around the threshold
     rows += [(2000 + i, prose(rng, 100)) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     expected = classes_of_all_pairs(df, rows)
     assert 5 < sum(expected[i] == i for i in range(150)) < 145
-    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == expected
+    for chunk in (4096, 16):
+        assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df, chunk=chunk).collect()} == expected
+
+
+def recall(got, rows, threshold=0.8):
+    """Of the pairs of different texts with a Jaccard similarity of at least `threshold`, the share in one class."""
+    sets = {i: set(shingles(t)) for i, t in rows}
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
+    return len(pairs), sum(got[a] == got[b] for a, b in pairs) / max(1, len(pairs))
+
+
+def test_recall_on_one_cluster(spark):
+    """A corpus of nothing but near copies, edited by words of their own, and the same beside other texts."""
+    rng = random.Random(21)
+    rows = framed(rng, 250, [1, 2, 4, 6, 8, 12], frame=150)
+    for more in ([], [(5000 + i, prose(rng, 120)) for i in range(400)]):
+        df = spark.createDataFrame(rows + more, "doc_id long, text string")
+        n, found = recall({r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}, rows)
+        assert n > 5000 and found >= 0.95, (n, found)
+
+
+def test_texts_that_share_a_doc_id(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b + " end"), (3, c), (3, c), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 3)]
+    kept = sorted(((r.doc_id or 0), r.text) for r in neardup.one_of_each(df).collect())
+    assert kept == sorted([(0, a), (0, a), (1, a), (1, b), (3, c)])
+    empty = spark.createDataFrame([(1, "")] * 3 + [(2, None), (3, "..."), (4, "x" * 200_000)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(empty).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
 
 
 def test_components(spark):
