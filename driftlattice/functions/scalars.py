@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def file_safe_time(iso: Column) -> Column:
@@ -58,10 +56,15 @@ def well_connected(k_in: Column, gamma: Column, size: Column, whole: Column) ->
     return F.when((gamma == 0) | (whole == 0), True).otherwise(k_in >= gamma * (size - size * size / whole))
 
 
-@F.pandas_udf(StringType())
-def truncate_256(text: pd.Series) -> pd.Series:
-    """At most 256 bytes of UTF-8, at a whole character."""
-    return text.map(lambda x: None if x is None else x.encode()[:256].decode("utf-8", "ignore"))
+def truncate_256(text: Column, most: int = 256) -> Column:
+    """At most 256 bytes of UTF-8, at a whole character: back from the first byte that is left out to one that begins a
+    character (of four bytes at most, and not 10xxxxxx)."""
+    raw = text.cast("binary")
+    begins = lambda k: F.conv(F.hex(F.substring(raw, k + 1, 1)), 16, 10).cast("int").bitwiseAND(192) != 128
+    cut = F.when(begins(most), most)
+    for k in range(most - 1, most - 3, -1):
+        cut = cut.when(begins(k), k)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(raw, F.lit(1), cut.otherwise(most - 3)).cast("string"))
 
 
 def string_content(literal: str) -> str | None:

@@ -44,18 +44,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 NODE = "p_brand || '/' || p_type || '/' || p_partkey"
 NODES_SQL = f"SELECT p_partkey, {NODE} AS id, p_size FROM part"
 LINES_SQL = "SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey"
-SPARSE = " AND a.l_quantity >= 45 AND b.l_quantity >= 45"
 GRAPH_SQL = f"nodes AS ({NODES_SQL}), lines AS ({LINES_SQL}), edges AS (SELECT x.id AS source, y.id AS target FROM lines JOIN nodes x ON s = x.p_partkey JOIN nodes y ON t = y.p_partkey)"
-SPARSE_SQL = GRAPH_SQL.replace(LINES_SQL, LINES_SQL + SPARSE)
 
 
 def nodes_of(spark, d) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type", "p_partkey").alias("id"), "p_size")
 
 
-def edges_of(spark, d, sparse: bool = False) -> DataFrame:
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    li = li.filter("l_quantity >= 45") if sparse else li
+def edges_of(spark, d) -> DataFrame:
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     a = li.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") + 1).alias("n"), F.col("l_partkey").alias("s"))
     b = li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("t"))
     lines = a.join(b, ["o", "n"]).filter("s != t").select("s", "t").distinct()
@@ -205,19 +202,19 @@ def graph_edge_clean(spark, d):
     return graph.clean_edges(table(spark, d, "part").filter("p_size <= 25").select(F.col("p_partkey").alias("id")), raw)
 
 
-@query("SELECT DISTINCT l_partkey AS source, l_suppkey AS target FROM lineitem WHERE l_partkey <> l_suppkey AND l_partkey BETWEEN 0 AND 49 AND l_suppkey BETWEEN 0 AND 49")
+@query("SELECT DISTINCT l_partkey AS source, l_suppkey AS target FROM lineitem, (SELECT count(*) AS n FROM part) WHERE l_partkey <> l_suppkey AND l_partkey BETWEEN 0 AND n - 1 AND l_suppkey BETWEEN 0 AND n - 1")
 def graph_index_edges(spark, d):
-    return graph.index_edges(50, table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")))
+    return graph.index_edges(table(spark, d, "part").count(), table(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")))
 
 
-@query(f"WITH {SPARSE_SQL} SELECT source AS id, string_agg(target, ',' ORDER BY string_split(target, '/')) AS neighbours FROM edges GROUP BY source")
+@query(f"WITH {GRAPH_SQL} SELECT source AS id, string_agg(target, ',' ORDER BY string_split(target, '/')) AS neighbours FROM edges GROUP BY source")
 def graph_neighbours(spark, d):
-    return graph.out_neighbours(edges_of(spark, d, True)).withColumn("neighbours", F.array_join("neighbours", ","))
+    return graph.out_neighbours(edges_of(spark, d)).withColumn("neighbours", F.array_join("neighbours", ","))
 
 
-@query(f"WITH RECURSIVE {SPARSE_SQL}, both_ways AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), r(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, w.b FROM r JOIN both_ways w ON r.b = w.a) SELECT a AS id, min(b) AS component FROM r GROUP BY a")
+@query(f"WITH RECURSIVE {GRAPH_SQL}, both_ways AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), r(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT a, min(x.component) FROM r x JOIN both_ways ON x.id = b JOIN recurring.r y ON y.id = a WHERE x.component < y.component GROUP BY a) SELECT id, component FROM r")
 def graph_wcc(spark, d):
-    return graph.weak_components(nodes_of(spark, d), edges_of(spark, d, True))
+    return graph.weak_components(nodes_of(spark, d), edges_of(spark, d))
 
 
 @query()
@@ -343,12 +340,12 @@ def edge_weights(spark, d):
     return rounded(L.weighted_edges(edges_of(spark, d), given), "weight")
 
 
-@query("WITH k AS (SELECT l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS ordinal, l_partkey AS s, l_suppkey AS t, l_quantity AS w FROM lineitem), known AS (SELECT p_partkey AS id FROM part WHERE p_partkey <= 60) SELECT least(s, t) AS source, greatest(s, t) AS target, arg_max(w, (ordinal, w)) AS weight FROM k WHERE s IN (SELECT id FROM known) AND t IN (SELECT id FROM known) GROUP BY ALL")
+@query("WITH k AS (SELECT l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS ordinal, l_partkey AS s, l_suppkey AS t, l_quantity AS w FROM lineitem), known AS (SELECT p_partkey AS id FROM part) SELECT least(s, t) AS source, greatest(s, t) AS target, arg_max(w, (ordinal, w)) AS weight FROM k WHERE s IN (SELECT id FROM known) AND t IN (SELECT id FROM known) GROUP BY ALL")
 def caller_weight_keys(spark, d):
     li = table(spark, d, "lineitem")
     ordinal = F.struct((F.col("l_orderkey") * 10000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("o"), F.col("l_quantity").alias("w"))
     weights = li.select(ordinal.alias("ordinal"), F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_quantity").alias("weight"))
-    return L.caller_weights(weights, table(spark, d, "part").filter("p_partkey <= 60").select(F.col("p_partkey").alias("id")))
+    return L.caller_weights(weights, table(spark, d, "part").select(F.col("p_partkey").alias("id")))
 
 
 KEYS = ["a:b", "a:b:c", ":x", "nokey", "x:"]
@@ -581,12 +578,12 @@ def renumber_communities(spark, d):
 
 # --- store, times, texts --------------------------------------------------------------------------------------------
 
-NAMES_SQL = "names AS (SELECT DISTINCT 'snapshot_' || strftime(o_orderdate, '%Y%m%d') || '.json' AS name FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT 'README.md')"
+NAMES_SQL = "names AS (SELECT DISTINCT 'snapshot_' || strftime(o_orderdate, '%Y%m%d') || '.json' AS name FROM orders UNION ALL SELECT 'README.md')"
 
 
 @query(f"WITH {NAMES_SQL} SELECT name, row_number() OVER (ORDER BY name DESC) <= 5 AS kept FROM names WHERE name LIKE 'snapshot_%.json'")
 def retention_plan(spark, d):
-    names = table(spark, d, "orders").filter("o_orderkey % 97 = 0").select(F.concat(F.lit("snapshot_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".json")).alias("name")).distinct()
+    names = table(spark, d, "orders").select(F.concat(F.lit("snapshot_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".json")).alias("name")).distinct()
     return snapshots.retention_plan(names.union(spark.createDataFrame([("README.md",)], "name string")), 5)
 
 
@@ -617,7 +614,7 @@ def date_validate(spark, d):
     return spark.createDataFrame([(t,) for t in DATES], "date string").select("date", scalars.date_problem(F.col("date")).alias("problem"))
 
 
-@query()
+@query("WITH d AS (SELECT doc_id, text, list_transform(range(1, least(length(text), 256) + 1), lambda k: strlen(text[1:k])) AS ends FROM documents) SELECT doc_id, text[1:len(list_filter(ends, lambda e: e <= 256))] AS text FROM d")
 def truncate_256(spark, d):
     return table(spark, d, "documents").select("doc_id", scalars.truncate_256(F.col("text")).alias("text"))
 

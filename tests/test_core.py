@@ -74,6 +74,19 @@ def test_graph_queries_see_all_lines(spark, tmp_path):
         assert name == "leiden_cpm" or sorted(map(sorted, groups.values())) == [["b/t/1", "b/t/2", "b/t/3"], ["b/t/4", "b/t/5", "b/t/6"]], name
 
 
+def test_unknown_nodes_and_numbers_out_of_range_go(spark):
+    pairs = spark.createDataFrame([(0, 1), (0, 1), (1, 1), (2, 0), (0, 3), (-1, 2), (2, None)], "source long, target long")
+    assert {tuple(r) for r in graph.index_edges(3, pairs).collect()} == {(0, 1), (2, 0)}
+    given = spark.createDataFrame([(1, "a", "b", 1.0), (2, "b", "a", 2.0), (3, "a", "x", 3.0), (4, "x", "y", 4.0)], "ordinal long, source string, target string, weight double")
+    assert [tuple(r) for r in L.caller_weights(given, nodes(spark, "a", "b", "c")).collect()] == [("a", "b", 2.0)]
+
+
+def test_truncate(spark):
+    texts = [None, "", "a" * 256, "a" * 257, *["x" * k + c * 100 for c in "é€😀" for k in range(4)]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalars.truncate_256(F.col("t")).alias("cut")).collect()
+    assert all(r.cut == (None if r.t is None else r.t.encode()[:256].decode("utf-8", "ignore")) for r in rows)
+
+
 def test_path_order_of_hubs(spark):
     top = graph.top_hubs(nodes(spark, "a-b/x", "a/x"), edges(spark), 1).head()
     assert top.id == "a/x"
