@@ -3,11 +3,13 @@
 A text is taken as its words (letters and digits, A-Z in lower case) with one space between them. Each notice allows
 up to k edits (k grows with its length). Pigeonhole: cut into k + 1 pieces, at least one piece of a match is whole, so
 an Aho-Corasick pass over the pieces finds every candidate place. Around each, the regex library's bounded-error
-matching verifies the edits and reports the span. The base phrases are notices with k = 0: their one piece is the
-whole phrase, and each place where their words stand is counted.
+matching verifies the edits and reports the span. Words that tell one license from another (in capitals below) must
+stand in it with hardly an edit: one for five characters, so `mit` with none. The base phrases are notices with k = 0:
+their one piece is the whole phrase, and each place where their words stand is counted.
 
 Defined results: null and empty texts have no words, no matches and score 0; repeated rows are scanned one by one;
-spans are word numbers from 0. Texts are scanned whole, a few MB at a time.
+spans are word numbers from 0; of overlapping matches of one notice the first best one counts. Texts are scanned whole,
+a few MB at a time. Columns besides doc_id and the text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,22 +27,27 @@ from pyspark.sql import functions as F
 from driftlattice.llm.textbuf import chunks
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices that the fuzzy search knows: label and words.
+#: Notices that the fuzzy search knows: label and words. Words in capitals must be there.
 NOTICES = (
-    ("apache", "licensed under the apache license version"),
-    ("bsd", "redistribution and use in source and binary forms"),
-    ("cc-by", "creative commons attribution"),
-    ("copyleft", "gnu affero general public license"),
-    ("gpl", "gnu general public license"),
-    ("lgpl", "gnu lesser general public license"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person"),
-    ("mpl", "mozilla public license"),
-    ("reserved", "all rights reserved"),
-    ("unlicense", "released into the public domain"),
+    ("agpl", "gnu AFFERO general public license"),
+    ("apache", "licensed under the APACHE license version"),
+    ("bsd", "REDISTRIBUTION and use in source and BINARY forms"),
+    ("bsd", "released under the BSD license"),
+    ("cc-by", "CREATIVE COMMONS ATTRIBUTION"),
+    ("gpl", "GNU GENERAL public license"),
+    ("gpl", "released under the GPL license"),
+    ("isc", "released under the ISC license"),
+    ("lgpl", "gnu LESSER general public license"),
+    ("mit", "released under the MIT license"),
+    ("mit", "PERMISSION is hereby GRANTED free of charge to any person"),
+    ("mpl", "MOZILLA public license"),
+    ("reserved", "all RIGHTS RESERVED"),
+    ("unlicense", "released into the PUBLIC DOMAIN"),
 )
 #: One edit is allowed for so many characters of a notice.
 CHARACTERS_PER_EDIT = 10
+#: The same for the words that must be there.
+CHARACTERS_PER_EDIT_IN_KEY = 5
 
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -75,13 +82,16 @@ def normalized(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @lru_cache(1)
 def plan():
-    """The automaton over the pieces; for each piece its notices; the notices: label, words, edits, pattern."""
-    notices = [(label, text, 0, None) for text, label in BASE.items()]
+    """The automaton over the pieces; for each piece its notices; the notices: label, words, edits, pattern, patterns of
+    the words that must be there."""
+    notices = [(label, text, 0, None, []) for text, label in BASE.items()]
     for label, text in NOTICES:
         k = max(1, len(text) // CHARACTERS_PER_EDIT)
-        notices.append((label, text, k, regex.compile(f"(?b)(?<= )(?:{regex.escape(text)}){{e<={k}}}(?= )")))
+        keys = [regex.compile(f"(?<![^ ])(?:{w.lower()}){{e<={len(w) // CHARACTERS_PER_EDIT_IN_KEY}}}(?![^ ])") for w in text.split() if w.isupper()]
+        text = text.lower()
+        notices.append((label, text, k, regex.compile(f"(?b)(?<= )(?:{regex.escape(text)}){{e<={k}}}(?= )"), keys))
     pieces = defaultdict(list)
-    for n, (_, text, k, _) in enumerate(notices):
+    for n, (_, text, k, *_) in enumerate(notices):
         if k == 0:
             pieces[f" {text} "].append((n, 1))
             continue
@@ -108,7 +118,7 @@ def scan(data: np.ndarray, offs: np.ndarray):
             candidates[n].append(end - length + 1 - (offset if notices[n][3] else -1))
     words_at = lambda row, at: plain.count(" ", starts[row] + 2, at)
     for n, places in candidates.items():
-        label, notice, k, pattern = notices[n]
+        label, notice, k, pattern, keys = notices[n]
         rows = np.searchsorted(starts, places, side="right") - 1
         if pattern is None:
             for row, at in zip(rows.tolist(), places, strict=True):
@@ -122,7 +132,7 @@ def scan(data: np.ndarray, offs: np.ndarray):
             low, high = max(starts[row] + 1, at - k - 1), min(starts[row + 1] if row + 1 < len(starts) else len(plain), at + len(notice) + k + 1)
             low = max(low, done[1] - 1) if done[0] == row else low
             m = pattern.search(plain, low, high) if high - low > len(notice) - k else None
-            if m:
+            if m and all(key.search(m.group()) for key in keys):
                 first = words_at(row, m.start())
                 found[row].append((label, first, first + m.group().strip().count(" "), sum(m.fuzzy_counts), len(notice), False))
                 done = (row, m.end())

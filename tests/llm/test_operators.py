@@ -76,6 +76,47 @@ def test_fuzzy_notices(spark):
     assert got[2].labels == "mit" and got[3].labels == "" and got[3].score == 0 and got[4].n_words == 0
 
 
+def edits(a, b):
+    """Least insertions, deletions and substitutions."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j, prev=row, x=x: min(left + 1, prev[j] + 1, prev[j - 1] + (x != b[j - 1])), initial=i))
+    return row[-1]
+
+
+def labels_by_scan(text):
+    """Labels of all notices that some words of a text spell within the edits allowed, key words included."""
+    w, out = words(text), {label for phrase, label in licenses.BASE.items() if f" {phrase} " in f" {' '.join(words(text))} "}
+    spans = lambda w, low, high: {x for i in range(len(w)) for j in range(i + 1, len(w) + 1) if low <= len(x := " ".join(w[i:j])) <= high}
+    for label, notice in licenses.NOTICES:
+        k = max(1, len(notice) // 10)
+        for x in spans(w, len(notice) - k, len(notice) + k):
+            near = lambda key, x=x: any(edits(y, key) <= len(key) // 5 for y in spans(x.split(), len(key) - len(key) // 5, len(key) + len(key) // 5))
+            if edits(x, notice.lower()) <= k and all(near(key.lower()) for key in notice.split() if key.isupper()):
+                out.add(label)
+                break
+    return ",".join(sorted(out))
+
+
+def test_fuzzy_labels_equal_an_edit_scan(spark):
+    rng = random.Random(17)
+    rows = []
+    for _, notice in licenses.NOTICES:
+        for n in range(7):  # none to six edits, then others' key words
+            t = list(notice.lower())
+            for _ in range(n):
+                i = rng.randrange(len(t))
+                t[i : i + 1] = rng.choice([[], [rng.choice("abcdei ")], [t[i], rng.choice("abcdei")]])
+            rows.append("we say " + "".join(t) + " and so on")
+    rows += [f"This is released under the {x} license." for x in "bsd gpl isc mit apache nit public m it".split(" ")] + ["gnu affero general public license", "GNU Lesser General Public License", "all lights reversed", "the general public", ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("matches", F.lit(1))
+    got = by_id(licenses.license_scan(df))
+    assert {i: got[i].labels for i in got} == {i: labels_by_scan(t) for i, t in enumerate(rows)}
+    assert all("mit" not in got[i].labels for i, t in enumerate(rows) if re.search("the (bsd|gpl|isc|nit) license", t))
+    long = spark.createDataFrame([(1, "word " * 400_000 + rows[0]), (2, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.labels) for r in licenses.license_scan(long).collect()) == [(1, 400_000 + len(words(rows[0])), "agpl,gpl"), (2, 0, "")]
+
+
 def test_suffix_dedup(spark, docs, corpus, none):
     seen, expected = set(), {}
     for i, text, *_ in corpus:
