@@ -305,6 +305,43 @@ def test_pieces_match_the_library():
         assert list(e.stream("▁" + t.replace(" ", "▁"))) == sp.encode(t) or not t
 
 
+def test_unigram_paths_equal_brute_force():
+    e = pieces.Encoder()
+    e.unigram, e.longest = True, 3
+    scored = {"a": -2.0, "b": -2.5, "ab": -3.1, "ba": -4.0, "aba": -5.0, "bb": -4.1, "c": -1.0, "bc": -3.0}
+    e.names, e.ids = list(scored), {p: i for i, p in enumerate(scored)}
+    e.score_of, e.floor, e.unknown, e.bytes_id = list(scored.values()), -20.0, 99, {}
+    e.begins = {p[:k]: -1 for p in scored for k in range(1, len(p))} | e.ids
+
+    def best(text):
+        paths = {0: (0.0, [])}
+        for end in range(1, len(text) + 1):
+            known = [(paths[at][0] + scored[x], paths[at][1] + [e.ids[x]]) for at in range(max(0, end - 3), end) if (x := text[at:end]) in scored]
+            paths[end] = max(known or [(paths[end - 1][0] - 20.0, paths[end - 1][1] + [99])], key=lambda p: p[0])
+        return paths[len(text)]
+
+    rng = random.Random(9)
+    for n in [*range(1, 40), 200, 1000]:
+        text = "".join(rng.choice("abcx") for _ in range(n))
+        ids = list(e.stream(text))
+        assert sum(e.score_of[k] if k != 99 else -20.0 for k in ids) == pytest.approx(best(text)[0])
+        assert "".join("x" if k == 99 else e.names[k] for k in ids) == text
+    e.scored = {"ab": -1.0, "ba": -1.0, "a": -1.0, "b": -1.0}  # two readings of a long row stay level to its end
+    e.names, e.longest = list(e.scored), 2
+    e.ids = {p: i for i, p in enumerate(e.names)}
+    e.begins, e.score_of = dict(e.ids), list(e.scored.values())
+    assert len(list(e.stream("ab" * 500))) == 500 and len(list(e.stream("ab" * 500 + "a"))) == 501
+
+
+def test_round_trip_sees_a_wrong_id(monkeypatch):
+    e = pieces.encoder(pieces.MODEL)
+    assert e.decoded(e.encode("the cat")) == b"the cat" and e.decoded(e.encode("the cat")[:-1]) != b"the cat"
+    texts = list(e.texts)
+    texts[e.encode("the")[0]] = b"?"
+    monkeypatch.setattr(e, "texts", texts)
+    assert e.decoded(e.encode("the cat")) != b"the cat"  # what round_trip compares, for the ids of each text
+
+
 def test_pieces_commit_in_a_bounded_window():
     e = pieces.Encoder()
     rng = random.Random(4)
