@@ -4,14 +4,16 @@
    shared again by weight until no source is above (water filling in closed form over the ordered cap-to-weight ratios).
 2. `sainte_lague` turns targets into whole numbers of blocks by highest quotients v / (2 q + 1): first among the
    sources, then among the shards of each source by their sizes. A shard is a seeded part of a source of about
-   `shard_tokens` words, so that a source of any size is spread over many tasks.
-3. In a shard the documents, in seeded order, form one stream that is cut into blocks of `block` words. A quota of q
-   blocks out of n takes each block q div n times, and once more the q mod n blocks b for which (STEP b + c) mod n is
-   smallest, where c is seeded; STEP is a prime above any n, so the order is a permutation.
-
-Only DataFrame functions run. Defined results: a null or empty text has size 0 and is never taken; rows with a null
-source form a source that comes last in order; repeated rows are separate documents; an empty table gives no rows.
-Columns besides doc_id, text and source pass through unless their names are used here.
+   `shard_tokens` words (more, if there were above `most_shards` shards in all), so that a source of any size is spread
+   over many tasks. A block has `block` words, or a `fine`th of the smallest source, if that is less.
+3. In a shard the documents, in seeded order, form one stream that is cut into blocks. A quota of q blocks out of n
+   takes each block q div n times, and once more the q mod n blocks b for which (STEP b + c) mod n is smallest, where c
+   is seeded; STEP is a prime above any n, so the order is a permutation.
+
+Only DataFrame functions run. Sources are rows of one sorted window; their table is broadcast up to `SMALL` rows and
+joined otherwise. Defined results: a null or empty text has size 0 and is never taken; rows with a null source form a
+source that comes last in order; repeated rows are separate documents; an empty table gives no rows. Other columns pass
+through; in `mix`, its own columns replace columns of the same name (without regard to case).
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlattice.llm.quality import words_of
+from driftlattice.llm.textbuf import checkpointed
 
 WEIGHTS = (3, 1, 2)
-STEP = 1_000_003
+STEP = (1 << 31) - 1
+SMALL = 100_000
 
 
 def seeded(seed: int, *parts: Column) -> Column:
@@ -76,60 +80,74 @@ def sainte_lague(df: DataFrame, group: list[str], key: list[str], votes: str, se
     return df.drop("__v", "__n", "__q", "__r", "__won", *[f"__key_{k}" for k in names])
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 64, shard_tokens: int = 4_000_000, seed: int = 7, weights=WEIGHTS) -> DataFrame:
-    """docs(doc_id, text, source, ...) with size, source_size, target, taken and what places its words in the mix.
+OWN = ("size", "source_size", "target", "taken")
 
-    start: place of its first word in its shard's stream; n_blocks, whole, extra, turn: how the shard's blocks are taken.
-    """
-    docs = docs.withColumn("size", F.size(words_of(F.col("text"))).cast("long"))
-    sized = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+
+def placed(docs: DataFrame, share: float = 1.5, most: float = 2.0, block: int = 64, fine: int = 16, shard_tokens: int = 250_000, most_shards: int = 100_000, seed: int = 7, weights=WEIGHTS) -> DataFrame:
+    """docs(doc_id, text, source, ...) as doc_id, text, source, the columns of OWN, __row (a struct of all other columns)
+    and what places a document's words in the mix: __start (place of its first word in its shard's stream), __block,
+    __n, __whole, __extra, __turn (how the shard's blocks are taken)."""
+    rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c.lower() not in ("doc_id", "text", "source")]
+    docs = docs.select("doc_id", "text", "source", (F.struct(*rest) if rest else F.lit(None)).alias("__row"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    sized = checkpointed(docs.groupBy("source").agg(F.sum("size").alias("source_size")))  # a row for each source
     mixed = targets(sized, share, most, weights)
-    mixed = mixed.withColumn("one", F.lit(0)).withColumn("seats", F.floor(F.sum("target").over(Window.partitionBy("one")) / block + 0.5).cast("long"))
-    mixed = sainte_lague(mixed, ["one"], ["rank"], "target", "seats", "quota").withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long"))
-    mixed = mixed.select("source", "source_size", "target", "rank", "quota", "n_shards")
-    placed = docs.join(F.broadcast(mixed.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    whole = Window.partitionBy("__one")
+    mixed = mixed.withColumn("__one", F.lit(0)).withColumn("__block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(whole) / fine))).cast("long"))
+    mixed = mixed.withColumn("__seats", F.floor(F.sum("target").over(whole) / F.col("__block") + 0.5).cast("long"))
+    tokens = F.greatest(F.lit(shard_tokens), F.ceil(F.sum("source_size").over(whole) / most_shards))
+    mixed = mixed.withColumn("__tokens", tokens)
+    mixed = sainte_lague(mixed, ["__one"], ["rank"], "target", "__seats", "__quota").withColumn("__n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("__tokens"))).cast("long"))
+    mixed = checkpointed(mixed.select(F.col("source").alias("__source"), "source_size", "target", F.col("rank").alias("__rank"), "__block", "__quota", "__n_shards"))
+    small = lambda df, n: F.broadcast(df) if n <= SMALL else df
     digest = seeded(seed, F.col("doc_id"))
-    placed = placed.withColumn("digest", digest).withColumn("shard", number(F.substring("digest", 8, 7)) % F.col("n_shards"))
-    stream = Window.partitionBy("rank", "shard").orderBy("digest", "doc_id", "size")
-    placed = placed.withColumn("start", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    shards = docs_shards(docs, mixed, seed)
-    shards = sainte_lague(shards, ["rank"], ["shard"], "shard_size", "quota", "shard_quota")
-    n = F.ceil(F.col("shard_size") / block).cast("long")
-    shards = shards.withColumn("n_blocks", n).select(
-        F.col("rank").alias("__rank"),
-        F.col("shard").alias("__shard"),
-        "n_blocks",
-        F.when(F.col("n_blocks") > 0, F.floor(F.col("shard_quota") / F.col("n_blocks"))).otherwise(0).cast("long").alias("whole"),
-        F.when(F.col("n_blocks") > 0, F.col("shard_quota") % F.col("n_blocks")).otherwise(0).cast("long").alias("extra"),
-        F.when(F.col("n_blocks") > 0, number(seeded(seed, F.col("rank"), F.col("shard"))) % F.col("n_blocks")).otherwise(0).cast("long").alias("turn"),
+    docs = docs.join(small(mixed, mixed.count()), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__digest", digest)
+    docs = docs.withColumn("__shard", number(F.substring("__digest", 8, 7)) % F.col("__n_shards"))
+    shards = docs.groupBy("__rank", "__block", "__quota", "__shard").agg(F.sum("size").alias("__size"))
+    shards = sainte_lague(shards, ["__rank"], ["__shard"], "__size", "__quota", "__own")
+    filled = lambda c: F.when(F.col("__n") > 0, c).otherwise(F.lit(0)).cast("long")
+    shards = shards.withColumn("__n", F.ceil(F.col("__size") / F.col("__block")).cast("long")).select(
+        F.col("__rank").alias("__r"),
+        F.col("__shard").alias("__s"),
+        "__n",
+        filled(F.floor(F.col("__own") / F.col("__n"))).alias("__whole"),
+        filled(F.col("__own") % F.col("__n")).alias("__extra"),
+        filled(number(seeded(seed, F.col("__rank"), F.col("__shard"))) % F.col("__n")).alias("__turn"),
     )
-    placed = placed.join(shards, (F.col("rank") == F.col("__rank")) & (F.col("shard") == F.col("__shard")))
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    overlap = lambda b: F.least((b + 1) * block, F.col("start") + F.col("size")) - F.greatest(b * block, F.col("start"))
-    part = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda a, b: a + F.when(chosen(b), overlap(b)).otherwise(F.lit(0).cast("long")))
+    shards = checkpointed(shards)
+    stream = Window.partitionBy("__rank", "__shard").orderBy("__digest", "doc_id", "size")
+    docs = docs.withColumn("__start", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
+    docs = docs.join(small(shards, shards.count()), (F.col("__rank") == F.col("__r")) & (F.col("__shard") == F.col("__s")))
+    start, end, b = F.col("__start"), F.col("__start") + F.col("size"), F.col("__block")
+    overlap = lambda k: F.least((k + 1) * b, end) - F.greatest(k * b, start)
+    part = F.aggregate(F.sequence(F.floor(start / b), F.floor((end - 1) / b)), F.lit(0).cast("long"), lambda x, k: x + F.when(chosen(k), overlap(k)).otherwise(F.lit(0).cast("long")))
     limit = F.floor(most * F.col("size")).cast("long")
-    taken = F.when(F.col("size") > 0, F.least(F.col("whole") * F.col("size") + part, limit)).otherwise(F.lit(0).cast("long"))
-    return placed.withColumn("taken", taken).drop("__rank", "__shard", "digest", "n_shards", "quota")
+    taken = F.when(F.col("size") > 0, F.least(F.col("__whole") * F.col("size") + part, limit)).otherwise(F.lit(0).cast("long"))
+    return docs.withColumn("taken", taken).select("doc_id", "text", "source", *OWN, "__row", "__start", "__block", "__n", "__whole", "__extra", "__turn")
+
 
+def passed(names: list[str], **own: Column) -> list[Column]:
+    """The columns `names` of a table that went through `placed`."""
+    k = {c: F.col(f"__row.c{i}") for i, c in enumerate(names) if c.lower() not in ("doc_id", "text", "source")}
+    return [own.get(c.lower(), k.get(c, F.col(c.lower()))).alias(c) for c in names]
 
-def docs_shards(docs: DataFrame, mixed: DataFrame, seed: int) -> DataFrame:
-    """A row for each shard that holds documents, with its words; summed per task before rows are dealt out."""
-    placed = docs.join(F.broadcast(mixed.withColumnRenamed("source", "__source")), F.col("source").eqNullSafe(F.col("__source")))
-    shard = number(F.substring(seeded(seed, F.col("doc_id")), 8, 7)) % F.col("n_shards")
-    return placed.groupBy("rank", "quota", shard.alias("shard")).agg(F.sum("size").alias("shard_size"))
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """docs(doc_id, text, source, ...) with size, source_size, target and taken; options of `placed`."""
+    names = docs.columns
+    out = [c for c, n in zip(passed(names), names, strict=True) if n.lower() not in OWN]
+    return placed(docs, **options).select(*out, *OWN)
 
 
 def chosen(b: Column) -> Column:
     """Whether block b of a shard is taken once more."""
-    return (b * STEP + F.col("turn")) % F.col("n_blocks") < F.col("extra")
+    return (b * STEP + F.col("__turn")) % F.col("__n") < F.col("__extra")
 
 
-def mixed_documents(docs: DataFrame, block: int = 64, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: whole copies of a text as often as it is taken, then one row of the words taken once more."""
-    names = docs.columns
-    df = mix(docs, block=block, **options).filter("taken > 0")
-    tokens = F.filter(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), lambda t, i: chosen(F.floor((F.col("start") + i) / block)))
-    rest = F.when(F.col("taken") > F.col("whole") * F.col("size"), F.array(F.array_join(tokens, ""))).otherwise(F.array().cast("array<string>"))
-    copies = F.concat(F.array_repeat(F.col("text"), F.least(F.col("whole"), F.floor(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")), rest)
-    df = df.withColumn("__copies", copies).select(*[F.col(f"`{c}`") for c in names if c != "text"], F.explode("__copies").alias("text"))
-    return df.select(*names)
+    df = placed(docs, **options).filter("taken > 0")
+    tokens = F.filter(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), lambda t, i: chosen(F.floor((F.col("__start") + i) / F.col("__block"))))
+    rest = F.when(F.col("taken") > F.col("__whole") * F.col("size"), F.array(F.array_join(tokens, ""))).otherwise(F.array().cast("array<string>"))
+    copies = F.concat(F.array_repeat(F.col("text"), F.least(F.col("__whole"), F.floor(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")), rest)
+    df = df.select("doc_id", "source", "__row", F.explode(copies).alias("text"))
+    return df.select(*passed(docs.columns))

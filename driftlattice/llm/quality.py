@@ -74,14 +74,14 @@ def quality_rules(df: DataFrame, text: str = "text", table=THRESHOLDS, min_words
     """df with the counts, the ratios of the table, base_failed and kept."""
     stop = F.array(*[F.lit(w) for w in sorted({w for x in STOP_WORDS.values() for w in x.split()})])
     own = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_stop word_length symbol_ratio stop_ratio dup_line_ratio repeat_ratio base_failed kept".split()
-    kept_columns = [F.col(f"`{c}`") for c in df.columns if c.lower() not in own]
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = df.select(*kept_columns, t.alias("__t"), words_of(t).alias("__w"), lines_of(t).alias("__l"))
+    rest = [c for c in df.columns if c.lower() not in own]
+    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    df = df.select(*[F.col(f"`{c}`").alias(f"__rest{k}") for k, c in enumerate(rest)], t.alias("__t"), words_of(t).alias("__w"), lines_of(t).alias("__l"))
     df = df.withColumn("__o", repeated_words(F.col("__w")))
     pure = F.length(F.regexp_replace("__t", SPACE, ""))
     w, lines = F.col("__w"), F.col("__l")
     df = df.select(
-        *[F.col(f"`{c}`") for c in df.columns if not c.startswith("__")],
+        *[F.col(f"__rest{k}") for k in range(len(rest))],
         F.size(w).cast("long").alias("n_words"),
         pure.cast("long").alias("word_chars"),
         (F.length("__t") - F.length(F.regexp_replace("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -101,4 +101,5 @@ def quality_rules(df: DataFrame, text: str = "text", table=THRESHOLDS, min_words
             "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")),
         }
     )
-    return df.withColumn("kept", ~F.col("base_failed") & compile_rules(table))
+    df = df.withColumn("kept", ~F.col("base_failed") & compile_rules(table))
+    return df.select(*[F.col(f"__rest{k}").alias(c) for k, c in enumerate(rest)], *own)

@@ -105,19 +105,20 @@ s3 AS (SELECT *, cap / weight AS ratio FROM s2),
 s4 AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY ratio, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM s3),
 s5 AS (SELECT source, source_size, rank, one, least(cap, weight * (SELECT arg_min(lev, (ratio, rank)) FROM s4 WHERE ratio >= lev)) AS target FROM s4),
-s6 AS (SELECT *, floor(sum(target) OVER () / 64 + 0.5)::BIGINT AS seats FROM s5),
+s6 AS (SELECT *, floor(sum(target) OVER () / blk + 0.5)::BIGINT AS seats, greatest(250000, ceil(sum(source_size) OVER () / 100000)) AS tokens
+  FROM (SELECT *, greatest(1, least(64, min(source_size) FILTER (source_size > 0) OVER () // 16))::BIGINT AS blk FROM s5)),
 {_lague("s6", "one", "rank", "target", "seats", "quota")},
-s7 AS (SELECT source, source_size, rank, target, quota, greatest(1, ceil(source_size / 4000000::DOUBLE))::BIGINT AS n_shards FROM quota_done),
+s7 AS (SELECT source, source_size, rank, target, quota, blk, greatest(1, ceil(source_size / tokens::DOUBLE))::BIGINT AS n_shards FROM quota_done),
 p AS (SELECT k, doc_id, size, s7.*, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source),
 p1 AS (SELECT *, ('0x' || digest[8:14])::BIGINT % n_shards AS shard FROM p),
 p2 AS (SELECT *, (sum(size) OVER (PARTITION BY rank, shard ORDER BY digest, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM p1),
-h0 AS (SELECT rank, quota, shard, sum(size)::BIGINT AS shard_size FROM p1 GROUP BY ALL),
+h0 AS (SELECT rank, quota, blk, shard, sum(size)::BIGINT AS shard_size FROM p1 GROUP BY ALL),
 {_lague("h0", "rank", "shard", "shard_size", "quota", "shard_quota")},
-h1 AS (SELECT rank, shard, shard_quota, ceil(shard_size / 64::DOUBLE)::BIGINT AS n_blocks FROM shard_quota_done),
+h1 AS (SELECT rank, shard, shard_quota, ceil(shard_size / blk::DOUBLE)::BIGINT AS n_blocks FROM shard_quota_done),
 h2 AS (SELECT *, CASE WHEN n_blocks > 0 THEN shard_quota // n_blocks ELSE 0 END AS whole, CASE WHEN n_blocks > 0 THEN shard_quota % n_blocks ELSE 0 END AS extra,
   CASE WHEN n_blocks > 0 THEN ('0x' || md5('7:' || rank || ':' || shard)[1:7])::BIGINT % n_blocks ELSE 0 END AS turn FROM h1),
-b AS (SELECT *, unnest(range(start // 64, (start + size - 1) // 64 + 1)) AS b FROM p2 JOIN h2 USING (rank, shard) WHERE size > 0),
-e AS (SELECT k, sum(least((b + 1) * 64, start + size) - greatest(b * 64, start)) AS part FROM b WHERE (b * {STEP} + turn) % n_blocks < extra GROUP BY k)
+b AS (SELECT *, unnest(range(start // blk, (start + size - 1) // blk + 1)) AS b FROM p2 JOIN h2 USING (rank, shard) WHERE size > 0),
+e AS (SELECT k, sum(least((b + 1) * blk, start + size) - greatest(b * blk, start)) AS part FROM b WHERE (b * {STEP} + turn) % n_blocks < extra GROUP BY k)
 SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN least(whole * size + coalesce(part, 0), 2 * size) ELSE 0 END::BIGINT AS taken
 FROM p2 JOIN h2 USING (rank, shard) LEFT JOIN e USING (k)
 """

@@ -375,7 +375,9 @@ def test_quality(docs, corpus, none):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
     assert quality.quality_rules(none).count() == 0
-    assert "n_words" in quality.quality_rules(docs.withColumn("N_Words", F.lit(1))).columns
+    clash = quality.quality_rules(docs.select("*", *[F.lit("x").alias(c) for c in ("N_Words", "__t", "__w", "__l", "__o", "__rest0", "a b")]))
+    assert "n_words" in clash.columns and "N_Words" not in clash.columns
+    assert {r.doc_id: (r.n_words, r["__w"], r["a b"]) for r in clash.collect()} == {i: (r.n_words, "x", "x") for i, r in got.items()}
 
 
 @pytest.fixture(scope="module")
@@ -535,6 +537,25 @@ def test_mixing(docs, corpus, none):
     assert all(words_out[i] == r.taken for i, r in got.items() if r.size and "\x00" not in (corpus[i][1] or ""))
 
 
+def test_mixing_odd_inputs(spark, docs):
+    extra = docs.select("*", *[F.lit("x").alias(c) for c in ("Target", "rank", "turn", "quota", "digest", "start", "__row", "__n", "one two")])
+    plain = by_id(mixing.mix(docs))
+    got = mixing.mix(extra)
+    assert "Target" not in got.columns and {"target", "rank", "quota", "__row", "one two"} <= set(got.columns)
+    assert {r.doc_id: (r.taken, r.rank, r["__n"]) for r in got.collect()} == {i: (r.taken, "x", "x") for i, r in plain.items()}
+    mixed = mixing.mixed_documents(extra)
+    assert mixed.columns == extra.columns and sorted((r.doc_id, r.text) for r in mixed.collect()) == sorted((r.doc_id, r.text) for r in mixing.mixed_documents(docs).collect())
+    few = spark.createDataFrame([(1, "a b c", "x"), (2, "d e", "y"), (2, "d e", "y"), (3, None, "z"), (4, "w " * 300_000, None), (None, "n n n", "x")], "doc_id long, text string, source string")
+    rows = mixing.mix(few).collect()
+    taken, sizes, target = Counter(), Counter(), {r.source: r.target for r in rows}
+    for r in rows:
+        taken[r.source] += r.taken
+        sizes[r.source] += r.size
+    assert target == pytest.approx(filled(dict(sizes))) and all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+    one = mixing.mix(few.limit(1)).head()
+    assert (one.size, one.target, one.taken) == (3, 4.5, 4) or (one.size, one.target, one.taken) == (3, 4.5, 5)
+
+
 def test_sainte_lague(spark):
     votes = {"a": 53_000, "b": 24_000, "c": 23_000, "d": 1, "e": 0}
     for seats in (1, 7, 21, 100):
