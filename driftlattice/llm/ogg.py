@@ -1,12 +1,15 @@
 """Media columns: an Ogg container reader and writer, and signal features of the samples read back.
 
-The writer multiplexes two logical streams into one physical one: 8-bit unsigned samples (packets of 4,080 samples, a
-granule position counts samples) and a stream of one note (the number of samples). The reader verifies each page's
-checksum, undoes lacing to packets (also over page breaks), sorts pages into logical streams by serial number, and
-turns granule positions into seconds.
+The writer multiplexes two logical streams into one physical one: 8-bit unsigned samples (packets of 1,200 samples, a
+granule position counts the samples up to the last packet that ends in a page) and a stream of one note (the number of
+samples). Pages hold 16 segments, so packets run over page breaks. The reader verifies each page's checksum, reassembles
+packets from lacing values, sorts pages into logical streams by serial number, and turns granule positions into seconds.
+It raises ValueError for damaged, missing or repeated pages, for a stream without its last page or with pages after it,
+for granules that go back, and for samples that are not as many as the last granule or the note says.
 
 Defined results: a null text counts as empty; an empty text is 64 bytes 0; equal texts give equal media, as nothing but
-the text enters them. Texts of any length are cut into pages of at most 61,200 samples.
+the text enters them; repeated rows are stored one by one. Texts of any length are cut into pages; columns besides
+doc_id and the text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from driftlattice.llm.textbuf import utf8
 
-RATE, PACKET, PAGE_PACKETS = 8000, 4080, 15
+RATE, PACKET, PAGE_SEGMENTS = 8000, 1200, 16
 SAMPLES, NOTES = 0x51, 0x52  # serial numbers
 FLIP = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -34,33 +37,43 @@ def crc(page: bytes) -> int:
     return int.from_bytes(x.to_bytes(4, "big").translate(FLIP)[::-1], "big")
 
 
-def page(packets: list[bytes], kind: int, granule: int, serial: int, number: int) -> bytes:
-    lacing = b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in packets)
-    if len(lacing) > 255:
-        raise ValueError("more than 255 segments in a page")
+def page(lacing: bytes, body: bytes, kind: int, granule: int, serial: int, number: int) -> bytes:
     head = b"OggS" + struct.pack("<BBqIII", 0, kind, granule, serial, number, 0) + bytes([len(lacing)]) + lacing
-    raw = head + b"".join(packets)
+    raw = head + body
     return raw[:22] + struct.pack("<I", crc(raw)) + raw[26:]
 
 
+def pages(packets: list[bytes], granules: list[int], serial: int, number: int = 0, segments: int = PAGE_SEGMENTS, first: bool = False, last: bool = False) -> list[bytes]:
+    """Packets as pages of at most `segments` lacing values; granules: the position at the end of each packet. A page in
+    which no packet ends has granule -1. first, last: whether the logical stream begins or ends with them."""
+    lacing = b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in packets)
+    body, at, ended, out = b"".join(packets), 0, 0, []
+    for k in range(0, len(lacing), segments):
+        own = lacing[k : k + segments]
+        n = sum(x < 255 for x in own)
+        ended += n
+        kind = CONTINUED * (k > 0 and lacing[k - 1] == 255) | FIRST * (first and k == 0) | LAST * (last and k + segments >= len(lacing))
+        out.append(page(own, body[at : at + sum(own)], kind, granules[ended - 1] if n else -1, serial, number + len(out)))
+        at += sum(own)
+    return out
+
+
 def write(samples: bytes) -> bytes:
     head = b"PCM     " + struct.pack(">HHIIBBHI", 0, 0, 1, RATE, 8, 1, PACKET, 0)
-    out = [page([head], FIRST, 0, SAMPLES, 0), page([b"NOTE    "], FIRST, 0, NOTES, 0)]
-    step = PACKET * PAGE_PACKETS
-    for k, at in enumerate(range(0, len(samples), step), 1):
-        part = samples[at : at + step]
-        packets = [part[i : i + PACKET] for i in range(0, len(part), PACKET)]
-        out.append(page(packets, LAST if at + step >= len(samples) else 0, at + len(part), SAMPLES, k))
-        if k == 1:
-            out.append(page([str(len(samples)).encode()], LAST, len(samples), NOTES, 1))
-    return b"".join(out)
-
-
-def read(data: bytes) -> dict[int, list[tuple[bytes, float | None]]]:
-    """By serial number, the packets and the time at which each page's last one ends (None for the others)."""
-    streams: dict[int, list[tuple[bytes, float | None]]] = {}
-    partial: dict[int, bytes] = {}
+    packets = [samples[i : i + PACKET] for i in range(0, len(samples), PACKET)]
+    sound = pages(packets, [min(len(samples), (i + 1) * PACKET) for i in range(len(packets))], SAMPLES, 1, last=True)
+    note = pages([str(len(samples)).encode()], [len(samples)], NOTES, 1, last=True)
+    heads = pages([head], [0], SAMPLES, first=True) + pages([b"NOTE    "], [0], NOTES, first=True)
+    return b"".join([*heads, *sound[:1], *note, *sound[1:]])
+
+
+def read(data: bytes) -> dict[int, list[tuple[bytes, int | None]]]:
+    """By serial number, the packets and the granule position of each page's last one (None for the others)."""
+    streams: dict[int, list[tuple[bytes, int | None]]] = {}
+    partial: dict[int, list[bytes]] = {}
     numbers: dict[int, int] = {}
+    latest: dict[int, int] = {}
+    ended: set[int] = set()
     at = 0
     while at < len(data):
         if data[at : at + 4] != b"OggS" or len(data) < at + 27:
@@ -70,38 +83,53 @@ def read(data: bytes) -> dict[int, list[tuple[bytes, float | None]]]:
         lacing = data[at + 27 : at + 27 + n]
         body = at + 27 + n
         end = body + sum(lacing)
-        if end > len(data):
+        if end > len(data) or len(lacing) < n:
             raise ValueError(f"the page at byte {at} is cut off")
         if crc(data[at : at + 22] + b"\0\0\0\0" + data[at + 26 : end]) != sum_:
             raise ValueError(f"the checksum of the page at byte {at} is wrong")
+        if serial in ended:
+            raise ValueError(f"stream {serial} goes on after its last page")
         if number != numbers.get(serial, -1) + 1:
             raise ValueError(f"stream {serial} lacks a page before number {number}")
-        if bool(kind & FIRST) == (serial in streams) or bool(kind & CONTINUED) != bool(partial.get(serial)):
+        if bool(kind & FIRST) == (serial in streams) or bool(kind & CONTINUED) != (serial in partial):
             raise ValueError(f"the flags of the page at byte {at} are wrong")
+        if 0 <= granule < latest.get(serial, 0):
+            raise ValueError(f"the granule position of the page at byte {at} goes back")
         numbers[serial] = number
         own = streams.setdefault(serial, [])
         start, length, before = body, 0, len(own)
         for x in lacing:
             length += x
             if x < 255:
-                own.append((partial.pop(serial, b"") + data[start : start + length], None))
+                own.append((b"".join([*partial.pop(serial, ()), data[start : start + length]]), None))
                 start, length = start + length, 0
-        if length:
-            partial[serial] = partial.get(serial, b"") + data[start : start + length]
-        if len(own) > before and granule >= 0:
-            own[-1] = (own[-1][0], granule / RATE)
+        if n and lacing[-1] == 255:
+            partial.setdefault(serial, []).append(data[start : start + length])
+        if (len(own) > before) != (granule >= 0):
+            raise ValueError(f"the granule position of the page at byte {at} does not fit its packets")
+        if granule >= 0:
+            own[-1] = (own[-1][0], granule)
+            latest[serial] = granule
+        if kind & LAST:
+            ended.add(serial)
         at = end
-    if any(partial.values()):
+    if partial:
         raise ValueError("a packet is not ended")
+    if ended != set(streams):
+        raise ValueError("a stream lacks its last page")
     return streams
 
 
 def samples_of(streams: dict) -> tuple[bytes, float]:
     """The samples and the time at which they end."""
-    for packets in streams.values():
-        if packets[0][0].startswith(b"PCM     "):
-            return b"".join(p for p, _ in packets[1:]), next((t for _, t in reversed(packets) if t is not None), 0.0)
-    raise ValueError("no stream of samples")
+    by_head = {packets[0][0][:8]: packets[1:] for packets in streams.values()}
+    if b"PCM     " not in by_head:
+        raise ValueError("no stream of samples")
+    samples = b"".join(p for p, _ in by_head[b"PCM     "])
+    last = next((g for _, g in reversed(by_head[b"PCM     "]) if g is not None), 0)
+    if last != len(samples) or any(int(p) != len(samples) for p, _ in by_head.get(b"NOTE    ", [])):
+        raise ValueError(f"{len(samples)} samples, but the last granule position is {last}")
+    return samples, last / RATE
 
 
 def features(samples: bytes, seconds: float) -> str:

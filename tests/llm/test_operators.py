@@ -478,24 +478,51 @@ def test_ogg(docs, corpus, none):
     assert got[60].media_sha256 == got[3].media_sha256 and ogg.media_columns(none).count() == 0
 
 
+def cut_pages(media):
+    """The pages of a physical stream, by the lengths in their own headers."""
+    out = []
+    while media:
+        n = 27 + media[26] + sum(media[27 : 27 + media[26]])
+        out.append(media[:n])
+        media = media[n:]
+    return out
+
+
 def test_ogg_pages():
-    for n in (64, 4080, 61_200, 61_264, 200_000):
+    for n in (64, 1200, 4080, 4096, 61_200, 61_264, 200_000, 255 * 16 * 5):
         samples = random.Random(n).randbytes(n)
         media = ogg.write(samples)
         streams = ogg.read(media)
         assert set(streams) == {ogg.SAMPLES, ogg.NOTES} and streams[ogg.NOTES][1][0] == str(n).encode()
         assert ogg.samples_of(streams) == (samples, n / ogg.RATE)
+        own = cut_pages(media)
+        assert n < 5000 or any(p[5] & ogg.CONTINUED for p in own)  # packets run over page breaks
+        for k in range(len(own)):  # any page lost, repeated or damaged
+            for bad in (own[:k] + own[k + 1 :], own[: k + 1] + own[k:]):
+                with pytest.raises(ValueError):
+                    ogg.samples_of(ogg.read(b"".join(bad)))
+            if k == len(own) - 1:
+                break
         damaged = bytearray(media)
         damaged[len(damaged) // 2] ^= 1
-        with pytest.raises(ValueError):
-            ogg.read(bytes(damaged))
-    two = ogg.page([b"PCM     "], 2, 0, 1, 0)
-    head = ogg.page([b"a" * 255], 0, -1, 1, 1)  # a packet over two pages: the first ends in a full segment
-    cut = bytearray(head[:26] + bytes([1, 255]) + b"a" * 255)
-    cut[22:26] = bytes(4)
-    cut[22:26] = ogg.crc(bytes(cut)).to_bytes(4, "little")
-    rest = ogg.page([b"bc"], 1 | 4, 7, 1, 2)
-    assert [p for p, _ in ogg.read(two + bytes(cut) + rest)[1]] == [b"PCM     ", b"a" * 255 + b"bc"]
+        for bad in (bytes(damaged), media[:-1], media[: len(media) // 2], b"x" + media):
+            with pytest.raises(ValueError):
+                ogg.samples_of(ogg.read(bad))
+
+
+def test_foreign_ogg():
+    """Pages of other sizes: a packet over three pages, one that ends in a full segment, an empty page, interleaved streams."""
+    a = [b"PCM     ", b"a" * 600, b"b" * 255, b""]
+    one = ogg.pages(a[:1], [0], 1, first=True) + ogg.pages(a[1:], [600, 855, 855], 1, 1, segments=1, last=True)
+    two = ogg.pages([b"other"], [0], 7, first=True) + ogg.pages([b"c" * 70_000], [5], 7, 1, segments=255, last=True)
+    mixed = [p for pair in itertools.zip_longest(one, two) for p in pair if p]
+    streams = ogg.read(b"".join(mixed))
+    assert [p for p, _ in streams[1]] == a and [p for p, _ in streams[7]] == [b"other", b"c" * 70_000]
+    assert ogg.samples_of(streams) == (b"a" * 600 + b"b" * 255, 855 / ogg.RATE)
+    with pytest.raises(ValueError):  # a granule that counts more samples than there are
+        ogg.samples_of(ogg.read(b"".join(one[:1] + ogg.pages([b"abc"], [4], 1, 1, last=True))))
+    with pytest.raises(ValueError):  # a granule that goes back
+        ogg.read(b"".join(one[:1] + ogg.pages([b"a" * 300, b"b"], [300, 200], 1, 1, segments=2, last=True)))
 
 
 def filled(sizes, share=1.5, most=2.0):
