@@ -52,6 +52,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads are decoded on reading, though they are no column of the result: that verifies their digests."""
     df = warc.read_archive(spark, warc.archive(read_table(spark, sf_dir, "pages")))
     return df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

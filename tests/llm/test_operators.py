@@ -459,6 +459,48 @@ def test_warc(spark, tmp_path):
     assert warc.read_archive(spark, empty).count() == 0
 
 
+def test_foreign_archives(spark, tmp_path):
+    import gzip
+
+    def foreign(kind, block, content="application/http; msgtype=response", more=""):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{kind}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Target-URI: http://a/%20\r\n{more}Content-Type: {content}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    body = b"<p>" + b"x" * 5000
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (body[:10], body[10:])) + b"0\r\n\r\n"
+    whole = b"HTTP/1.1 200 OK\r\nServer: a\r\n b\r\n\r\n" + body
+    records = [foreign("warcinfo", b"software: x\r\n", "application/warc-fields"), foreign("response", chunked), foreign("response", whole, more=f"WARC-Block-Digest: sha1:{warc.sha1(whole)}\r\nWARC-Payload-Digest: sha1:{warc.sha1(body)}\r\n"), foreign("request", b"GET / HTTP/1.1\r\n\r\n", "application/http; msgtype=request")]
+    plain, packed = tmp_path / "f", tmp_path / "z"
+    plain.mkdir()
+    packed.mkdir()
+    (plain / "a.warc").write_bytes(b"".join(records))
+    (packed / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (packed / "notes.txt").write_text("no archive")
+    for path in (plain, packed, packed / "a.warc.gz"):
+        got = warc.read_archive(spark, str(path)).collect()
+        assert sorted(r.record_type for r in got) == ["request", "response", "response", "warcinfo"]
+        assert all(bytes(r.payload) == body and r.payload_bytes == len(body) and r.payload_digest == warc.sha1(body) for r in got if r.record_type == "response")
+        assert {r.url for r in got} == {"http://a/%20"} and {r.page_id for r in got} == {None}
+        found = warc.read_archive(spark, str(path))
+        assert found.filter(F.col("payload_digest") == warc.sha1(body)).count() == 2 and found.filter("record_type = 'request'").count() == 1
+        assert warc.read_archive(spark, str(path), payload="false").filter("payload IS NULL").count() == 4
+    (plain / "a.warc").write_bytes(b"".join(records).replace(b"x" * 5000, b"x" * 4999 + b"y"))
+    (packed / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records))[:-20])
+    for path in (plain, packed, tmp_path / "none"):
+        with pytest.raises(Exception):  # noqa: B017
+            warc.read_archive(spark, str(path)).collect()
+
+
+def test_records_have_the_mandatory_fields():
+    import io
+
+    made = [warc.record(7, "http://a/ü", kind, 9, b"abc" * 40, "http://b/") for kind in ("response", "revisit", "revisit")]
+    heads = [warc.header(io.BytesIO(r)) for r in made]
+    assert all(h[f] for h in heads for f in ("warc-record-id", "warc-date", "warc-type", "content-length"))
+    assert len({h["warc-record-id"] for h in heads}) == 3 and all(re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", h["warc-record-id"]) for h in heads)
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["warc-date"]) and h["warc-target-uri"].isascii() for h in heads)
+    assert heads[1]["warc-refers-to-target-uri"] == "http://b/" and warc.payload_of(made[0].partition(b"\r\n\r\n")[2][:-4]) == b"abc" * 40
+
+
 def test_damaged_archive(tmp_path):
     raw = warc.record(1, "u", "response", None, b"abc" * 50)
     (tmp_path / "a.warc").write_bytes(raw.replace(b"\r\n\r\n", b"\r\n\r\nX", 1))
