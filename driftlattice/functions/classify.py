@@ -84,6 +84,12 @@ def node_kind_category(kind: Column) -> Column:
     return out
 
 
+def call_matches(text: Column, language: Column) -> Column:
+    """All categories whose patterns a call's text matches, in order of precedence; the first one is its category."""
+    found = [F.when(language.isin(*languages) & F.coalesce(text, F.lit("")).rlike("(?U)" + pattern), category) for category, languages, pattern in CALLS]
+    return F.array_distinct(F.filter(F.array(*found), lambda c: c.isNotNull()))
+
+
 def hint_category(kind: Column, text: Column, language: Column) -> Column:
     """The category of a hint, or null. Patterns are found anywhere, with Unicode words."""
     text = F.coalesce(text, F.lit(""))

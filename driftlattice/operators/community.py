@@ -77,6 +77,19 @@ def community_members(assignments: DataFrame) -> DataFrame:
     return assignments.groupBy("community").agg(F.sort_array(F.collect_set("node")).alias("members"))
 
 
+def partition_stats(assignments: DataFrame) -> DataFrame:
+    """One row: node_count, community_count, largest_community_size; 0 without nodes."""
+    sizes = community_sizes(assignments)
+    return sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("node_count"), F.count(F.lit(1)).alias("community_count"), F.coalesce(F.max("size"), F.lit(0)).cast("long").alias("largest_community_size"))
+
+
+def edge_weights(weighted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(a, b) with the weight between a and b in either order, 0 where there is no edge."""
+    known = weighted.select(F.col("u").alias("__u"), F.col("v").alias("__v"), "w")
+    on = (F.least("a", "b") == F.col("__u")) & (F.greatest("a", "b") == F.col("__v"))
+    return pairs.join(known, on, "left").select("a", "b", F.coalesce("w", F.lit(0.0)).alias("weight"))
+
+
 def quotient(weighted: DataFrame, assignments: DataFrame) -> DataFrame:
     """The graph of communities: inner weights become self-loops, others are summed up."""
     rows = community_edges(weighted, assignments)

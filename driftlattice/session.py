@@ -21,11 +21,23 @@ def session(app: str = "driftlattice", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in spark.checkpoint.dir; a local folder is set only where the cluster names none."""
-    context = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from spark.checkpoint.dir. Where none is named, a local master gets one of its
+    own and a cluster is an error, as its executors would not see it."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = os.path.abspath("spark-warehouse/checkpoints")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.abspath("spark-warehouse/checkpoints"))
+        context.setCheckpointDir(found)
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the folder that the cluster shares."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -8,6 +8,7 @@ is approximate: a construct's span ends with its own brackets or line, and macro
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -249,6 +250,25 @@ LANGUAGES = (
 BY_EXTENSION = {e: r for r in LANGUAGES for e in r.extensions}
 
 
+@dataclass
+class Adapter:
+    """A language of the user's own. parse(path, text) gives some of imports, exports, signatures (lists of texts) and
+    pattern_hints (dicts with node_kind, text and the span's place); what it leaves out is empty."""
+
+    language: str
+    extensions: tuple[str, ...]
+    parse: Callable[[str, str], dict]
+
+
+def languages_by_extension(adapters: Iterable[Adapter] = ()) -> dict[str, str]:
+    """The language of each extension; the first adapter that names an extension has it, the user's before the own ones."""
+    out: dict[str, str] = {}
+    for x in (*adapters, *LANGUAGES):
+        for e in x.extensions:
+            out.setdefault(e, x.language)
+    return out
+
+
 def statement_end(s: Source, at: int) -> int:
     """The end of an expression: the closing bracket around it, or the end of its statement."""
     i = at
@@ -401,9 +421,12 @@ def signatures(s: Source) -> list[str]:
     return out
 
 
-def parse_file(path: str, content: str, language: str | None = None) -> dict | None:
+def parse_file(path: str, content: str, language: str | None = None, adapters: Iterable[Adapter] = ()) -> dict | None:
     """The feature record of a file; None for a language that is not known."""
     dot = path.rpartition("/")[2].rfind(".")
+    for a in adapters:
+        if dot >= 0 and path.rpartition("/")[2][dot:] in a.extensions:
+            return {"path": path, "language": a.language, "imports": [], "exports": [], "signatures": [], "pattern_hints": []} | a.parse(path, content)
     rules = BY_EXTENSION.get(path.rpartition("/")[2][dot:]) if dot >= 0 else None
     if rules is None:
         return None
@@ -411,15 +434,16 @@ def parse_file(path: str, content: str, language: str | None = None) -> dict | N
     return {"path": path, "language": language or rules.language, "imports": imports(s), "exports": exports(s), "signatures": signatures(s), "pattern_hints": hints(s, rules)}
 
 
-def feature_records(files: DataFrame) -> DataFrame:
+def feature_records(files: DataFrame, adapters: Iterable[Adapter] = ()) -> DataFrame:
     """Records of files(path, content): one Python pass over each file; what is not UTF-8 or not known drops out."""
+    adapters = tuple(adapters)
 
     def run(batches):
         for b in batches:
             rows = []
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
-                    found = parse_file(path, bytes(content).decode())
+                    found = parse_file(path, bytes(content).decode(), adapters=adapters)
                 except UnicodeDecodeError:
                     continue
                 if found:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlattice.functions.paths import extension, glob_regex, matches_any
-from driftlattice.sources.adapters import BY_EXTENSION
+from driftlattice.sources.adapters import Adapter, languages_by_extension
 
 
 def ignore_rules(text: str, base: str = "") -> list[tuple[bool, str]]:
@@ -74,9 +75,9 @@ def stored_files(spark: SparkSession, root: str, exclude: list[str] | None = Non
     return df.select(path.alias("path"), "content").filter(~matches_any(F.col("path"), exclude or []))
 
 
-def routed(files: DataFrame) -> DataFrame:
+def routed(files: DataFrame, adapters: Iterable[Adapter] = ()) -> DataFrame:
     """files with the language of their extension; those of no known language go."""
     out = F.lit(None).cast("string")
-    for ext, rules in BY_EXTENSION.items():
-        out = F.when(extension(F.col("path")) == ext, rules.language).otherwise(out)
+    for ext, language in languages_by_extension(adapters).items():
+        out = F.when(extension(F.col("path")) == ext, language).otherwise(out)
     return files.withColumn("language", out).filter("language IS NOT NULL")

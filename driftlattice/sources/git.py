@@ -6,7 +6,9 @@ import os
 import subprocess
 import tempfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftlattice.errors import CommitError
 
@@ -42,15 +44,28 @@ def parse_log(raw: bytes) -> list[tuple[str, str, list[str]]]:
     return out
 
 
+def parsed_logs(logs: DataFrame, log: str = "log") -> DataFrame:
+    """logs with the commits of each log text (as `parse_log` reads it, newest first): commit_sha, commit_date, files."""
+
+    @F.pandas_udf("array<struct<commit_sha:string,commit_date:string,files:array<string>>>")
+    def parse(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"commit_sha": a, "commit_date": b, "files": c} for a, b, c in parse_log((t or "").encode())])
+
+    return logs.withColumn("commits", parse(F.col(log)))
+
+
 def commits(spark: SparkSession, root: str, history_depth: int = 500, revision: str = "HEAD") -> DataFrame:
-    """The last commits, oldest first by seq; none without a repository, without git or for a depth of 0."""
+    """The last commits, oldest first by seq; none without a repository, without git or for a depth of 0. CommitError if
+    git can't read the history."""
     rows: list = []
     if history_depth > 0 and os.path.exists(os.path.join(root, ".git")):
         try:
             raw = git(root, "log", "-z", "--name-only", "-n", str(history_depth), f"--format={MARK}%x00%H%x00%cI%x00", revision)
             rows = [(i, *c) for i, c in enumerate(reversed(parse_log(raw)))]
-        except (OSError, subprocess.CalledProcessError):
+        except OSError:
             rows = []
+        except subprocess.CalledProcessError as e:
+            raise CommitError(f"git log {revision}: exit code {e.returncode}, {e.stderr.decode('utf-8', 'replace').strip()}") from e
     return spark.createDataFrame(rows, SCHEMA)
 
 

@@ -45,6 +45,21 @@ def write_snapshot(folder: str | Path, snapshot: dict, retention: int = 0) -> Pa
     return path
 
 
+def write_snapshots(rows: DataFrame, folder: str) -> int:
+    """Writes each row of `rows` (columns of SCHEMA) as a snapshot, from the tasks; folder is on a shared file system. The
+    number of files; a task that runs twice writes the same ones."""
+
+    def run(batches):
+        for b in batches:
+            for time, text in zip(b["timestamp"], b["body"], strict=True):
+                body = text.encode()
+                replace(Path(folder) / file_name(time, body), body)
+            yield b[["timestamp"]]
+
+    body = F.to_json(F.struct(*rows.columns), {"pretty": "true"})
+    return rows.select("timestamp", body.alias("body")).mapInPandas(run, "timestamp string").count()
+
+
 def listed(folder: str | Path) -> list[Path]:
     return sorted(Path(folder).glob("snapshot_*.json")) if Path(folder).is_dir() else []
 

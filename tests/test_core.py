@@ -266,6 +266,53 @@ def test_git_log():
     assert git.parse_log(raw) == [("abc", "2026-01-01T00:00:00Z", ["a.rs", "b/c.rs"]), ("def", "2026-01-02T00:00:00Z", [])]
 
 
+def test_own_adapter(spark):
+    from driftlattice.sources.files import routed
+
+    def parse(path, text):
+        return {"imports": [x.split()[1] for x in text.splitlines() if x.startswith("use ")], "exports": [path]}
+
+    mine = adapters.Adapter("mine", (".my", ".go"), parse)
+    rows = spark.createDataFrame([(p, bytearray(t)) for p, t in (("a.my", b"use x\nuse y"), ("b.go", b"use z"), ("c.py", b"import os"), ("d.txt", b""), ("e.my", b"\xff"))], "path string, content binary")
+    got = {r.path: r for r in adapters.feature_records(rows, [mine]).collect()}
+    assert {p: (r.language, r.imports) for p, r in got.items()} == {"a.my": ("mine", ["x", "y"]), "b.go": ("mine", ["z"]), "c.py": ("python", ["os"])}
+    assert got["a.my"].exports == ["a.my"] and got["a.my"].pattern_hints == []
+    assert {r.path: r.language for r in routed(rows, [mine]).collect()} == {"a.my": "mine", "b.go": "mine", "c.py": "python", "e.my": "mine"}
+    assert {r.language for r in adapters.feature_records(rows).collect()} == {"go", "python"}
+
+
+def test_history_that_cannot_be_read(spark, tmp_path):
+    from driftlattice.errors import CommitError
+
+    assert git.commits(spark, str(tmp_path)).count() == 0
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    assert git.commits(spark, str(tmp_path), 0).count() == 0
+    with pytest.raises(CommitError):
+        git.commits(spark, str(tmp_path), 5, "no-such-revision")
+
+
+def test_categories_are_disjoint(spark):
+    """A node kind is of one category, and a call that several patterns match has a known winner."""
+    kinds = [k for ks in classify.NODE_KINDS.values() for k in ks]
+    assert len(kinds) == len(set(kinds))
+    calls = [("fetch(u).map(f)", "typescript"), ("JSON.parse(s)", "typescript"), ("useSelector(f)", "typescript"), ("app.get('/', h)", "typescript"), ("Promise.all(x)", "typescript"), ("requests.get(u)", "python"), ("len(x)", "python"), ("useState(0)", "javascript"), ("describe('x', f)", "typescript")]
+    df = spark.createDataFrame(calls, "text string, language string")
+    rows = df.select("text", classify.call_matches(F.col("text"), F.col("language")).alias("all"), classify.hint_category(F.lit("call_expression"), F.col("text"), F.col("language")).alias("one")).collect()
+    assert all((r["all"][0] if r["all"] else None) == r.one for r in rows)
+    overlaps = {r.text: r["all"] for r in rows if len(r["all"]) > 1}
+    assert overlaps == {"fetch(u).map(f)": ["data_access", "collection_pipelines"], "useSelector(f)": ["state_store", "framework_hooks"], "app.get('/', h)": ["http_routing", "data_access"]}
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from driftlattice import session
+
+    context = SimpleNamespace(master="spark://a:7077", getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None)
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
 def test_pipeline_and_cli(spark, tmp_path, capsys):
     from driftlattice.plans import cli
 
