@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import numpy as np
@@ -11,6 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlattice.session import checkpoint_dir, checkpointed
+
+
+__all__ = ["bounded_batches", "checkpoint_dir", "checkpointed", "chunks", "held_out", "read_table", "row_of", "stored", "utf8"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,23 +46,6 @@ def row_of(positions: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.searchsorted(offs, positions, side="right") - 1
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a local one is set only where none is."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = os.path.abspath("spark-warehouse/checkpoints")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut through a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again."""
     spark = df.sparkSession
