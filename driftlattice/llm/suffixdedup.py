@@ -4,16 +4,22 @@ Every window of `LENGTH` bytes has an anchor: the 22-byte string in it with the
 Equal windows have equal anchors, so only windows with a common anchor need to be compared.
 
 1. Documents are dealt into groups g of about `group_bytes`. Each group sends the distinct hashes of its anchors, a few
-   bytes for 15 bytes of text, to buckets, which return those that other documents hold too.
+   bytes for 15 bytes of text, to buckets, which return those that other documents hold too, and which of them are
+   heavy: more than `heavy` occurrences in groups (at most 255 a group are counted).
 2. For the shared anchors each group sends its distinct contexts (the bytes of the windows that an anchor stands for)
    with the smallest doc_id that holds them; a document with a larger one is covered there without further ado.
 3. A bucket keeps a logarithmic index family. Contexts come in order of doc_id, in batches; a batch gets the sorted
    array of its suffixes cut at `LENGTH` bytes, is scanned against the sorted array of each level for whole matches and
    against itself, and becomes a level; levels of equal size are merged, so each suffix is merged a logarithmic number
    of times. Suffixes are compared as bytes, hashes only bring them together.
+   An anchor that stands in very many contexts (at the edge of a boilerplate passage) would bring them all to one bucket.
+   Of heavy anchors the groups send each distinct window by itself, with its smallest doc_id, to a bucket by the hash of
+   the whole window; those windows go through an index family of their own bucket in the same way.
 4. Each group marks the covered bytes of its documents and drops them.
 
-However many documents share a passage, each group sends it once. Defined results: a null text is empty; texts shorter
+However many documents share a passage, each group sends it once. Groups grow with the input from `group_bytes` to
+four times that, so up to 24 GB there are at most 1,024 groups and the square of that packets between groups and buckets; beyond,
+packets grow with the square of the groups until there is one for each anchor. Defined results: a null text is empty; texts shorter
 than `LENGTH` stay whole; rows with equal doc_id don't cover one another; a null doc_id counts as larger than any
 other; an empty table gives no rows. Matches never cross documents.
 """
@@ -147,6 +153,56 @@ def shortened(h: np.ndarray) -> np.ndarray:
     return (h * STEP >> U(32)).astype(np.uint32)
 
 
+def windows_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of entries: the entry of each, its place after the entry's first one, and its bytes."""
+    n = raw[:, 9].astype(np.int64) - raw[:, 8] + 1
+    owner = np.repeat(np.arange(len(raw)), n)
+    shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = (10 + shift)[:, None] + np.arange(LENGTH)
+    return owner, shift, np.ascontiguousarray(raw[owner[:, None], at]).view(f"S{LENGTH}").reshape(-1)
+
+
+def window_hashes(windows: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(windows), U)
+    for column in windows.view(np.uint8).reshape(-1, LENGTH).T:
+        out = (out + CODES[column]) * STEP
+        out ^= out >> U(31)
+    return out
+
+
+class HeavyWindows:
+    """The distinct windows of a group's heavy entries: bytes, smallest doc_id, bucket; `cover` tells which windows of an
+    occurrence are covered."""
+
+    def __init__(self, names: np.ndarray, least: np.ndarray, heavy: np.ndarray, n_buckets: int):
+        self.number = np.cumsum(heavy) - 1  # of each entry among the heavy ones
+        at = np.flatnonzero(heavy)
+        owner, shift, windows = windows_of(names[at]) if len(at) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, f"S{LENGTH}"))
+        self.windows, self.which = np.unique(windows, return_inverse=True)
+        self.least = np.full(len(self.windows), LAST_ID)
+        np.minimum.at(self.least, self.which, least[at[owner]])
+        self.parts = split(bucket_of(window_hashes(self.windows), n_buckets))
+        self.of = np.full((len(at), OFFSETS), -1)
+        self.of[owner, shift] = self.which
+        self.hit = np.zeros(len(self.windows), bool)
+
+    def cover(self, entry: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        at = self.of[self.number[entry]]
+        covered = (at >= 0) & (self.hit[at] | (self.least[at] < ids[:, None]))
+        return (covered.astype(np.uint32) << np.arange(OFFSETS, dtype=np.uint32)).sum(1, dtype=np.uint32)
+
+
+def covered_windows(windows: np.ndarray, ids: np.ndarray, batch: int = 1 << 18) -> np.ndarray:
+    """Whether each window is one of a smaller doc_id too, out of an index family that takes them in order of doc_id."""
+    out = np.zeros(len(ids), bool)
+    order = np.argsort(ids, kind="stable")
+    levels = Levels()
+    for k in range(0, len(order), batch):
+        rows = order[k : k + batch]
+        out[rows] = levels.scan(windows[rows], ids[rows])
+    return out
+
+
 def split(bucket: np.ndarray):
     """(bucket, places) in order of bucket, places ascending."""
     order = np.argsort(bucket, kind="stable")
@@ -203,10 +259,7 @@ def covered_offsets(raw: np.ndarray, ids: np.ndarray, batch: int = 1 << 13) -> n
     levels = Levels()
     for k in range(0, len(fresh), batch):
         rows = fresh[k : k + batch]
-        n = raw[rows, 9].astype(np.int64) - raw[rows, 8] + 1  # windows of each entry
-        owner = np.repeat(np.arange(len(rows)), n)
-        shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        windows = np.ascontiguousarray(raw[rows[owner][:, None], (10 + shift)[:, None] + np.arange(LENGTH)]).view(f"S{LENGTH}").reshape(-1)
+        owner, shift, windows = windows_of(raw[rows])
         hit = levels.scan(windows, ids[rows[owner]])
         np.bitwise_or.at(out, rows[owner[hit]], np.uint32(1) << shift[hit].astype(np.uint32))
     return out
@@ -245,15 +298,16 @@ def blob(table: pa.Table, kind: int) -> list[tuple[int, int, bytes, bytes]]:
     return sorted((b, g, x, y) for k, b, g, x, y in zip(got["kind"], got["bucket"], got["g"], got["a"], got["b"], strict=True) if k == kind)
 
 
-def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_text: bool = False) -> DataFrame:
-    """doc_id and the counts of KEEPS for every row, in any order; with_text adds the text kept, at whole characters."""
+def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_text: bool = False, heavy: int = 4096, most_tasks: int = 20_000) -> DataFrame:
+    """doc_id and the counts of KEEPS for every row, in any order; with_text adds the text kept, at whole characters.
+    most_tasks: beyond so many groups a task takes several of them, one after the other."""
     spark = df.sparkSession
     bounded_batches(spark)
     rest = [c for c in df.columns if c.lower() not in ("doc_id", text.lower())] if with_text else []
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"__rest{k}") for k, c in enumerate(rest)])
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n_groups = max(1, -(-total // group_bytes))
-    tasks = max(n_groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_groups = max(1, -(-total // max(group_bytes, min(4 * group_bytes, total // 1024))))
+    tasks = max(min(n_groups, most_tasks), int(spark.conf.get("spark.sql.shuffle.partitions")))
     columns = docs.columns
     docs = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_groups)).cast("int"))
     schema = to_arrow_schema(docs.select(*columns).schema)
@@ -277,50 +331,78 @@ def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_te
         bucket, short, ids = bucket[order], short[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], (short[1:] != short[:-1]) | (bucket[1:] != bucket[:-1])])) if len(h) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.zeros(0, bool)
+        times = np.where(several, np.minimum(np.diff(np.append(first, len(h))), 255), 0).astype(np.uint8)  # 0: in one document
         short = short[first]
-        return rows_out([(0, b, key[0].as_py(), pack_sorted(short[x]), pack(several[x])) for b, x in split(bucket[first])])
+        return rows_out([(0, b, key[0].as_py(), pack_sorted(short[x]), pack(times[x])) for b, x in split(bucket[first])])
 
     def share(key, table):
         got = blob(table, 0)
         parts = [unpack_sorted(x) for _, _, x, _ in got]
         h = np.concatenate(parts)
-        several = np.concatenate([unpack(y, bool) for *_, y in got])
+        times = np.concatenate([unpack(y, np.uint8) for *_, y in got]).astype(np.int64)
         order = np.argsort(h, kind="stable")
         new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
         first = np.flatnonzero(new)
-        many = (np.diff(np.append(first, len(h))) > 1) | np.maximum.reduceat(several[order], first)
-        out = np.empty(len(h), bool)
-        out[order] = np.repeat(many, np.diff(np.append(first, len(h))))
+        groups = np.diff(np.append(first, len(h)))
+        many = (groups > 1) | (np.maximum.reduceat(times[order], first) > 0)
+        often = np.add.reduceat(np.maximum(times[order], 1), first) > heavy
+        out, hot = np.empty(len(h), bool), np.empty(len(h), bool)
+        out[order], hot[order] = np.repeat(many, groups), np.repeat(often, groups)
         cuts = np.cumsum([len(p) for p in parts])[:-1]
-        return rows_out([(1, b, g, pack_sorted(p[o]), None) for (b, g, *_), p, o in zip(got, parts, np.split(out, cuts), strict=True) if o.any()])
-
-    def shared_keys(table):
-        return np.sort(np.concatenate([(np.uint64(b) << U(32)) | unpack_sorted(x).astype(U) for b, _, x, _ in blob(table, 1)] or [np.zeros(0, U)]))
+        return rows_out([(1, b, g, pack_sorted(p[o]), pack(t[o])) for (b, g, *_), p, o, t in zip(got, parts, np.split(out, cuts), np.split(hot, cuts), strict=True) if o.any()])
+
+    def entries(table, marks):
+        """The entries of a group: names, smallest ids, entry and id of each occurrence, parts, the light entries by
+        bucket, and the windows of the heavy ones."""
+        got = blob(marks, 1)
+        shared = np.concatenate([(np.uint64(b) << U(32)) | unpack_sorted(x).astype(U) for b, _, x, _ in got] or [np.zeros(0, U)])
+        hot = np.concatenate([unpack(y, bool) for *_, y in got] or [np.zeros(0, bool)])
+        order = np.argsort(shared)
+        shared, hot = shared[order], hot[order]
+        group = Group(table)
+        names, least, entry, ids, parts = group.entries(shared, n_groups)
+        h = np.ascontiguousarray(names[:, :8]).view(">u8").reshape(-1).astype(U) if len(names) else np.zeros(0, U)
+        bucket = bucket_of(h, n_groups)
+        heavy_entry = hot[np.searchsorted(shared, (bucket.astype(U) << U(32)) | shortened(h).astype(U))] if len(h) else np.zeros(0, bool)
+        light = np.flatnonzero(~heavy_entry)
+        own = {b: light[x] for b, x in split(bucket[light])}
+        return group, names, least, entry, ids, parts, own, heavy_entry, HeavyWindows(names, least, heavy_entry, n_groups)
 
     def send(key, left, right):
         if not left.num_rows:
             return rows_out([])
-        names, least, *_ = Group(unpacked(left, schema)).entries(shared_keys(right), n_groups)
-        h = np.ascontiguousarray(names[:, :8]).view(">u8").reshape(-1).astype(U)
-        return rows_out([(2, b, key[0].as_py(), pack(names[x]), pack(least[x])) for b, x in split(bucket_of(h, n_groups))])
+        _, names, least, *_, own, _, windows = entries(unpacked(left, schema), right)
+        g = key[0].as_py()
+        rows = [(2, b, g, pack(names[x]), pack(least[x])) for b, x in own.items()]
+        return rows_out(rows + [(4, b, g, pack(windows.windows[x]), pack(windows.least[x])) for b, x in windows.parts])
 
     def index(key, table):
-        got = blob(table, 2)
-        ids = [unpack(y, np.int64) for *_, y in got]
-        raw = np.concatenate([unpack(x, np.uint8) for _, _, x, _ in got]).reshape(-1, 10 + WIDTH)
-        bits = np.split(covered_offsets(raw, np.concatenate(ids)), np.cumsum([len(x) for x in ids])[:-1])
-        return rows_out([(3, b, g, pack(x), None) for (b, g, *_), x in zip(got, bits, strict=True) if x.any()])
+        rows = []
+        if got := blob(table, 2):
+            ids = [unpack(y, np.int64) for *_, y in got]
+            raw = np.concatenate([unpack(x, np.uint8) for _, _, x, _ in got]).reshape(-1, 10 + WIDTH)
+            bits = np.split(covered_offsets(raw, np.concatenate(ids)), np.cumsum([len(x) for x in ids])[:-1])
+            rows += [(3, b, g, pack(x), None) for (b, g, *_), x in zip(got, bits, strict=True) if x.any()]
+        if got := blob(table, 4):
+            ids = [unpack(y, np.int64) for *_, y in got]
+            windows = np.concatenate([unpack(x, f"S{LENGTH}") for _, _, x, _ in got])
+            hits = np.split(covered_windows(windows, np.concatenate(ids)), np.cumsum([len(x) for x in ids])[:-1])
+            rows += [(5, b, g, pack(x), None) for (b, g, *_), x in zip(got, hits, strict=True) if x.any()]
+        return rows_out(rows)
 
     def remove(key, left, right):
         left = unpacked(left, schema)
-        group = Group(left)
-        names, least, entry, ids, parts = group.entries(shared_keys(right), n_groups)
-        h = np.ascontiguousarray(names[:, :8]).view(">u8").reshape(-1).astype(U) if len(names) else np.zeros(0, U)
+        group, names, least, entry, ids, parts, own, heavy_entry, windows = entries(left, right)
         bits = np.zeros(len(names), np.uint32)
-        own = dict(split(bucket_of(h, n_groups)))
         for b, _, x, _ in blob(right, 3):
             bits[own[b]] = unpack(x, np.uint32)
         cover = np.where(ids > least[entry], np.uint32((1 << OFFSETS) - 1), bits[entry])
+        if len(windows.windows):
+            places = dict(windows.parts)
+            for b, _, x, _ in blob(right, 5):
+                windows.hit[places[b]] = unpack(x, bool)
+            at = np.flatnonzero(heavy_entry[entry])
+            cover[at] = windows.cover(entry[at], ids[at])
         out, done = [], 0
         for (i, j, data, offs), (row, place, high) in zip(chunks(group.text, CHUNK), parts, strict=True):
             c = cover[done : done + len(row)]

@@ -117,9 +117,10 @@ def test_fuzzy_labels_equal_an_edit_scan(spark):
     assert sorted((r.doc_id, r.n_words, r.labels) for r in licenses.license_scan(long).collect()) == [(1, 400_000 + len(words(rows[0])), "agpl,gpl"), (2, 0, "")]
 
 
-def test_suffix_dedup(spark, docs, corpus, none):
+def removed_by_scan(rows):
+    """The digest columns of suffix dedup, from the set of all strings of 50 bytes in documents before."""
     seen, expected = set(), {}
-    for i, text, *_ in corpus:
+    for i, text in rows:
         raw = (text or "").encode()
         own = [raw[p : p + 50] for p in range(len(raw) - 49)]
         gone = bytearray(len(raw))
@@ -129,8 +130,35 @@ def test_suffix_dedup(spark, docs, corpus, none):
         seen.update(own)
         kept = bytes(x for x, g in zip(raw, gone, strict=True) if not g)
         expected[i] = (i, len(raw), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(kept).hexdigest())
-    for size in (2_000, 1 << 20):
-        assert {r.doc_id: tuple(r) for r in suffixdedup.dedup(docs, group_bytes=size).collect()} == expected
+    return expected
+
+
+def test_a_phrase_in_all_documents(spark):
+    """A phrase whose contexts differ everywhere: its anchors are heavy, and their windows are dealt by all their bytes."""
+    import numpy as np
+
+    rng = random.Random(31)
+    phrase = "all rights in this phrase are reserved by nobody"
+    rows = [(i, prose(rng, rng.randint(0, 12)) + phrase + rng.choice(["", " ", " and", " and so on"]) + prose(rng, rng.randint(0, 12))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = removed_by_scan(rows)
+    assert sum(x[2] > 0 for x in expected.values()) > 40
+    for size in (1_000, 20_000):
+        assert {r.doc_id: tuple(r) for r in suffixdedup.dedup(df, group_bytes=size, heavy=20).collect()} == expected
+    raw = "".join(t for _, t in rows).encode()
+    data, offs = np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum([len(t.encode()) for _, t in rows])])
+    row, place, h, low, high = suffixdedup.anchors(data, offs)
+    top = np.unique(h, return_counts=True)[1].max()
+    names = np.zeros((len(h), 10 + suffixdedup.WIDTH), np.uint8)
+    names[:, 8], names[:, 9], names[:, 10:] = low, high, suffixdedup.contexts(data, place, low, high)
+    windows = suffixdedup.HeavyWindows(names, row.astype(np.int64), np.ones(len(h), bool), 64)
+    assert top > 300 and max(len(x) for _, x in windows.parts) < len(windows.windows) / 20  # one key held them, 64 buckets share them
+
+
+def test_suffix_dedup(spark, docs, corpus, none):
+    expected = removed_by_scan([(i, t) for i, t, *_ in corpus])
+    for size, heavy in ((2_000, 4096), (1 << 20, 4096), (2_000, 2), (1 << 20, 0)):
+        assert {r.doc_id: tuple(r) for r in suffixdedup.dedup(docs, group_bytes=size, heavy=heavy).collect()} == expected
     assert suffixdedup.dedup(none).count() == 0
     same = spark.createDataFrame([(1, "q" * 80), (1, "q" * 80), (None, "q" * 80)], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.n_removed) for r in suffixdedup.dedup(same).collect())
