@@ -1,15 +1,20 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-1. `character_model`: counts of character triples in the words of every text (a-z, a border, all else).
+1. `character_model`: counts of character triples in the words of every text (a-z, a border, all else), and of look-alike
+   characters between two letters. `channel` learns from the latter what a look-alike costs as each letter that it may
+   stand for, by expectation maximization under the character model.
 2. Words that may be disguised (a look-alike character beside letters or at the end, look-alikes alone unless they are a
    number, a letter three times in a row, four letters and more spaced out one by one) are decoded: each observed character opens the letters it may stand for, a repeated one may stand
    for nothing, spaced letters may hold word borders; Viterbi finds the cheapest reading under the character model.
-   Other words have one reading only, themselves.
+   Other words have one reading only, themselves, so to skip them changes nothing.
 3. `fit` learns a word list from labelled rows: whole words and word starts that toxic texts hold and clean ones do
    not, picked one after the other so that each explains toxic texts of which the earlier ones explain too little (a cover
-   of `cover` features a text), if chance cannot explain their counts. The score of a text is a logistic function of the summed evidence of its distinct restored words.
+   of `cover` features a text), if chance cannot explain their counts. The score of a text is a logistic function of the summed evidence of its
+   distinct restored words, and of a weaker part that ranks texts but cannot reach the threshold by itself: the mean
+   log-odds of its words' hash places, with counts from the same labelled rows.
 
-It learns from a bounded, seeded sample of labelled rows (`n_toxic`, `n_clean`); the character model covers all rows.
+It learns from a bounded, seeded sample of labelled rows: about `n_toxic` and `n_clean` of those whose texts have at most
+`most_bytes` bytes; the character model and the channel cover all rows. A doc_id that is labelled both ways is left out.
 Defined results: null and empty texts have no evidence, so the lowest score; repeated rows score alike; with no
 labelled rows every text has the same score, below 0.5. Texts are read whole.
 """
@@ -20,7 +25,7 @@ import heapq
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,41 +44,68 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 TAIL = "!$|+"  # look-alikes that may also be punctuation at a word's end
 EDGE = ".,;:?\"'()[]{}<>%&#*-_=~^`/\\…«»¿¡"
 SUSPECT = re.compile(r"^[0-9@$!|+€]*[@$!|+€][0-9@$!|+€]*$|[^\W\d_][0-9@$!|+€]|[0-9@$!|+€][^\W\d_]|([^\W\d_])\1\1")  # numbers stay numbers
-DISGUISE, REPEAT, BREAK = 1.0, 1.5, 4.0  # costs, in nats
+REPEAT, BREAK = 1.5, 4.0  # costs, in nats
 PREFIXES = (4, 5, 6)
-KEPT_WORDS, PLACES = 300_000, 1 << 20
+KEPT_WORDS, RANKS = 300_000, 1 << 16
+LOOK_BYTES = [c for c in LOOKS if c.isascii()]
+LOOK_CODE = np.zeros(256, np.int64)
+LOOK_CODE[[ord(c) for c in LOOK_BYTES]] = np.arange(1, len(LOOK_BYTES) + 1)
 
 
-def character_model(df: DataFrame, text: str = "text") -> np.ndarray:
-    """Costs [before][last][next] of characters, from triples counted over all texts; tasks send sums, at most 28^3 each."""
+def character_model(df: DataFrame, text: str = "text") -> tuple[np.ndarray, dict[str, dict[str, float]]]:
+    """Costs [before][last][next] of characters, and the costs of `channel`, from all texts; tasks send sums, at most
+    28^3 of triples and as many of look-alikes for each of their kinds."""
 
     def count(batches):
-        total = np.zeros(N**3, np.int64)
+        total = np.zeros((len(LOOK_BYTES) + 1) * N**3, np.int64)
         for b in batches:
             for _, _, data, offs in chunks(b.column(0)):
-                c = CODE[data]
-                c = np.insert(c, offs[:-1], BORDER)  # texts are apart
+                look = np.insert(LOOK_CODE[data], offs[:-1], 0)
+                c = np.insert(CODE[data], offs[:-1], BORDER)  # texts are apart
                 if len(c) > 2:
-                    total += np.bincount((c[:-2] * N + c[1:-1]) * N + c[2:], minlength=N**3)
+                    total[: N**3] += np.bincount((c[:-2] * N + c[1:-1]) * N + c[2:], minlength=N**3)
+                    at = np.flatnonzero(look[1:-1] * (c[:-2] > 0) * (c[2:] > 0)) + 1
+                    total += np.bincount(look[at] * N**3 + c[at - 1] * N + c[at + 1], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["triple", "n"])
 
-    counts = np.zeros(N**3)
+    counts = np.zeros((len(LOOK_BYTES) + 1) * N**3)
     for r in df.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n")).collect():
         counts[r.triple] = r.n
-    counts = counts.reshape(N, N, N)
+    looks = counts[N**3 :].reshape(len(LOOK_BYTES), N, N, N)[:, 0]
+    counts = counts[: N**3].reshape(N, N, N)
     two = counts.sum(0)
     one = two.sum(0)
     p1 = (one + 1) / (one + 1).sum()
     p2 = (two + 20 * p1) / (two.sum(1, keepdims=True) + 20)
-    return -np.log((counts + 20 * p2) / (counts.sum(2, keepdims=True) + 20))
+    return -np.log((counts + 20 * p2) / (counts.sum(2, keepdims=True) + 20)), channel(looks, p2)
+
+
+def channel(looks: np.ndarray, p2: np.ndarray, rounds: int = 20) -> dict[str, dict[str, float]]:
+    """The cost of each look-alike as a letter, -log P(look-alike | letter, disguised). looks[c][a][b]: how often c stands
+    between the letters a and b. Each round shares every count among the letters c may stand for, by how well they fit
+    between a and b and by the costs so far; letters start with equal chances for their look-alikes."""
+    kinds = {c: [code(x) for x in LOOKS[c]] for c in LOOK_BYTES}
+    n_of = Counter(x for xs in kinds.values() for x in xs)
+    p = {(c, x): 1.0 / n_of[x] for c, xs in kinds.items() for x in xs}
+    for _ in range(rounds):
+        n = {}
+        for k, (c, xs) in enumerate(kinds.items()):
+            fit_ = np.array([p2[:, x][:, None] * p2[x][None, :] * p[c, x] for x in xs])
+            n |= {(c, x): float((looks[k] * share).sum()) for x, share in zip(xs, fit_ / fit_.sum(0), strict=True)}
+        of = Counter()
+        for (_, x), m in n.items():
+            of[x] += m
+        p = {(c, x): (m + 1) / (of[x] + n_of[x]) for (c, x), m in n.items()}
+    out = {c: {chr(96 + x): -math.log(p[c, x]) for x in xs} for c, xs in kinds.items()}
+    return out | {c: dict.fromkeys(LOOKS[c], 1.0) for c in LOOKS if c not in out}
 
 
 def code(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else OTHER if c.isalpha() else BORDER
 
 
-def restorations(observed: str, cost: list, least: int, spaced: bool = False) -> list[str]:
+def restorations(observed: str, cost: list, looks: dict[str, dict[str, float]], least: int, spaced: bool = False) -> list[str]:
     """The cheapest readings of the first `least`, `least` + 1, ... and of all characters under the character model."""
     out = []
     paths = {(BORDER, BORDER, ""): (0.0, "")}  # last two codes and the last letter -> cost, reading
@@ -81,7 +113,7 @@ def restorations(observed: str, cost: list, least: int, spaced: bool = False) ->
         after: dict = {}
         drawn = seen * 3 in observed[max(0, i - 2) : i + 3]  # only three or more of a character may stand for fewer
         options = [(seen, 0.0)] if seen.isalpha() else []
-        options += [(x, DISGUISE) for x in LOOKS.get(seen, "")]
+        options += looks.get(seen, {}).items()
         if not options:
             options = [(seen, 0.0)]
         for (a, b, letter), (total, reading) in paths.items():
@@ -101,9 +133,9 @@ def restorations(observed: str, cost: list, least: int, spaced: bool = False) ->
     return out
 
 
-def restore(observed: str, cost: list, spaced: bool = False) -> str:
+def restore(observed: str, cost: list, looks: dict[str, dict[str, float]], spaced: bool = False) -> str:
     """The cheapest reading of a word (or of letters spaced out) under the character model."""
-    return restorations(observed, cost, len(observed), spaced)[0] if observed else ""
+    return restorations(observed, cost, looks, len(observed), spaced)[0] if observed else ""
 
 
 def spaced_runs(text: str) -> list[str]:
@@ -125,20 +157,20 @@ def spaced_runs(text: str) -> list[str]:
 
 class Restorer:
     """Distinct restored words of a text, with a bounded table of tokens seen before; only words with evidence under
-    `weights`, if they are given."""
+    `weights`, if they are given. model: what `character_model` gives."""
 
-    def __init__(self, cost: np.ndarray, weights: dict[str, float] | None = None):
-        self.cost, self.weights = cost.tolist(), weights
+    def __init__(self, model, weights: dict[str, float] | None = None):
+        self.cost, self.looks, self.weights = model[0].tolist(), model[1], weights
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def readings(self, token: str) -> tuple[str, ...]:
         whole = token.lower().rstrip(EDGE + TAIL).lstrip(EDGE)
         words = re.findall(r"[^\W\d_]+", whole)
         if SUSPECT.search(whole):
-            words += re.findall(r"[^\W\d_]+", restore(whole, self.cost))
+            words += re.findall(r"[^\W\d_]+", restore(whole, self.cost, self.looks))
         full = token.lower().strip(EDGE)
         if len(full) > len(whole):  # any part of the tail may belong to the word
-            for reading in restorations(full, self.cost, len(whole) + 1):
+            for reading in restorations(full, self.cost, self.looks, len(whole) + 1):
                 words += re.findall(r"[^\W\d_]+", reading)
         found = tuple(dict.fromkeys(words if self.weights is None else (w for w in words if any(f in self.weights for f in features(w)))))
         if len(self.seen) >= KEPT_WORDS:
@@ -170,7 +202,7 @@ class Restorer:
                 out.update(found)
         if spaced:
             for run in set(spaced_runs(text.lower())):
-                reading = restore(run, self.cost, spaced=True)
+                reading = restore(run, self.cost, self.looks, spaced=True)
                 out.update(reading.split())
                 flat = reading.replace(" ", "")  # borders in it are guesses
                 out.update(flat[i : i + k] for k in range(4, 13) for i in range(len(flat) - k + 1))
@@ -204,8 +236,8 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:k]}" for k in PREFIXES if len(word) >= k)]
 
 
-def place(feature: str) -> int:
-    return zlib.crc32(feature.encode()) % PLACES
+def rank_of(token: str) -> int:
+    return zlib.crc32(token.encode()) % RANKS
 
 
 def texts(batch_column: pa.Array):
@@ -216,48 +248,51 @@ def texts(batch_column: pa.Array):
             yield i + r, data[p:q].tobytes().decode("utf-8", "replace"), bool(flags[r])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost: np.ndarray, n_toxic: int = 2000, n_clean: int = 6000, precision: float = 0.995, cover: int = 3):
-    """(weight of each learned feature, slope, offset), from docs(doc_id, text) with labels(doc_id, toxic) where `learn`
-    holds. About n_toxic and n_clean labelled rows are drawn by digest before texts are joined to them."""
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost, n_toxic: int = 2000, n_clean: int = 6000, precision: float = 0.995, cover: int = 3, most_bytes: int = 1 << 17):
+    """(weight of each learned feature, slope, offset, log-odds of each place of words), from docs(doc_id, text) with
+    labels(doc_id, toxic) where `learn` holds. About n_toxic and n_clean labelled rows are drawn by digest before texts
+    are joined to them; of those, texts of at most most_bytes bytes count. cost: what `character_model` gives."""
     sc = docs.sparkSession.sparkContext
     spot = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 7), 16, 10).cast("double") / float(1 << 28)
-    known = labels.filter(learn).select("doc_id", (F.col("toxic") == 1).alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").distinct()
+    known = labels.filter(learn).filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("toxic") == 1).alias("toxic"), F.max(F.col("toxic") == 1).alias("__most")).filter("toxic = __most").drop("__most")
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def sample(toxic: bool, most: int) -> DataFrame:
-        drawn = known.filter((F.col("toxic") == F.lit(toxic)) & (spot < most / max(1, counts.get(toxic, 0)))).select(F.col("doc_id").alias("__drawn")).distinct()
-        return docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("__drawn"), "left_semi").select(F.col("text").cast("string").alias("text"))
+        drawn = known.filter((F.col("toxic") == F.lit(toxic)) & (spot < most / max(1, counts.get(toxic, 0)))).select(F.col("doc_id").alias("__drawn"))
+        rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+        return rows.join(F.broadcast(drawn), F.col("doc_id") == F.col("__drawn"), "left_semi").select("text")
 
     bc = sc.broadcast(cost)
 
     def own_words(batches):
+        """The restored words of each text, and a hash of the token before each."""
         r = Restorer(bc.value)
         for b in batches:
             found = [sorted(r.in_order(t, s).items()) for _, t, s in texts(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([[x for pair in words for x in pair] for words in found], pa.list_(pa.string()))], names=["words"])
-
-    got = sample(True, n_toxic).mapInArrow(own_words, "words array<string>").toArrow().column(0)
-    rough, seen = np.zeros(PLACES, np.int32), set()
-    once = []  # copies of one text count once
-    for i in range(len(got)):
-        words = got[i].as_py()
-        key = hash(tuple(words))
-        if key not in seen:
-            seen.add(key)
-            once.append(i)
-            rough[list({place(f) for w in words[::2] for f in features(w)})] += 1
-    n1 = len(once)
+            yield pa.RecordBatch.from_arrays([pa.array([[w for w, _ in x] for x in found], pa.list_(pa.string())), pa.array([[zlib.crc32(y.encode()) for _, y in x] for x in found], pa.list_(pa.int64()))], names=["words", "before"])
+
+    got = sample(True, n_toxic).mapInArrow(own_words, "words array<string>, before array<bigint>").distinct().toArrow().combine_chunks()  # copies of one text count once
+    lists = got.column(0).combine_chunks()
+    n1 = len(lists)
     least = max(2, n1 // 500)
-    holds, beside = defaultdict(set), defaultdict(set)
-    for i in once:
-        words = got[i].as_py()
-        for w, before in zip(words[::2], words[1::2], strict=True):
-            for f in features(w):
-                if rough[place(f)] >= least:  # others can't have enough texts
-                    holds[f].add(i)
-                    beside[f].add(before)
+    text_of = np.repeat(np.arange(n1), np.diff(lists.offsets.to_numpy()))
+    encoded = lists.flatten().dictionary_encode()
+    codes, names_ = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
+    before = got.column(1).combine_chunks().flatten().to_numpy()
+    number: dict[str, int] = {}
+    own = [[number.setdefault(f, len(number)) for f in features(w)] for w in names_]
+    sizes = np.array([len(x) for x in own], np.int64)
+    flat, ends = np.array([f for x in own for f in x], np.int64), np.cumsum(sizes)
+    spread = np.repeat(np.arange(len(codes)), sizes[codes]) if len(codes) else np.zeros(0, np.int64)
+    inner = np.arange(len(spread)) - np.repeat(np.cumsum(sizes[codes]) - sizes[codes], sizes[codes]) if len(codes) else spread
+    feature = flat[(ends - sizes)[codes[spread]] + inner] if len(codes) else spread
+    in_texts = np.unique(feature * max(n1, 1) + text_of[spread])
+    times = np.bincount(in_texts // max(n1, 1), minlength=len(number))
+    neighbours = np.bincount(np.unique(np.stack([feature, before[spread]]), axis=1)[0], minlength=len(number)) if len(feature) else times
     # a word of one text's near copies always stands beside the same words, one that people use does not
-    holds = {f: at for f, at in holds.items() if len(at) >= least and len(beside[f]) >= max(2, min(5, len(at) // 3))}
+    fine = (times >= least) & (neighbours >= np.maximum(2, np.minimum(5, times // 3)))
+    starts = np.searchsorted(in_texts, np.arange(len(number) + 1) * max(n1, 1))
+    holds = {f: (in_texts[starts[k] : starts[k + 1]] % max(n1, 1)).tolist() for f, k in number.items() if fine[k]}
     names = sc.broadcast(frozenset(holds))
 
     def clean_counts(batches):
@@ -269,6 +304,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost: np.ndarray, n_t
         n[""] = rows
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["feature", "n"])
 
+    def ranks(batches):
+        """How many texts hold a token of each place."""
+        n = np.zeros(RANKS, np.int64)
+        for b in batches:
+            for _, t, _ in texts(b.column(0)):
+                n[list({rank_of(x) for x in t.split()})] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["place", "n"])
+
+    def ranked(toxic: bool, most: int) -> np.ndarray:
+        out = np.zeros(RANKS)
+        for r in sample(toxic, most).mapInArrow(ranks, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # RANKS rows at most
+            out[r.place] = r.n
+        return out
+
     clean = {r.feature: r.n for r in sample(False, n_clean).mapInArrow(clean_counts, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     n0 = clean.get("", 0)
     rate = lambda f, at: ((at + 0.5) / (n1 + 1), (clean.get(f, 0) + 0.5) / (n0 + 1))
@@ -278,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost: np.ndarray, n_t
     precise = {f: at for f, at in holds.items() if (not clean.get(f) or (x := rate(f, len(at)))[0] / sum(x) >= precision) and surprise(f, len(at)) >= needed}
     heap = [(-len(at), len(f), f) for f, at in precise.items()]
     heapq.heapify(heap)
-    wanted, weights, stems = dict.fromkeys(once, cover), {}, []  # features that each text may still ask for
+    wanted, weights, stems = dict.fromkeys(range(n1), cover), {}, []  # features that each text may still ask for
     while heap:
         gain, length, f = heapq.heappop(heap)
         if any(g.startswith(f[1:]) or f[1:].startswith(g) for g in stems):
@@ -294,7 +344,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost: np.ndarray, n_t
         weights[f] = math.log(x[0] / x[1])
         for i in precise[f]:
             wanted[i] -= 1
-    return weights, 1.5, 2.5
+    few, many = ranked(True, n_toxic), ranked(False, n_clean)
+    a, b = few.max(initial=0) + 2, many.max(initial=0) + 2
+    odds = np.log((few + 1) / a) - np.log((many + 1) / b) if counts else np.zeros(RANKS)
+    return weights, 1.5, 2.5, np.clip(odds, -4, 4).astype(np.float32)
 
 
 def entropy(a: int, b: int) -> float:
@@ -312,12 +365,16 @@ def score_documents(df: DataFrame, cost: np.ndarray, model, text: str = "text",
     bc = df.sparkSession.sparkContext.broadcast((cost, model))
 
     def run(batches):
-        cost, (weights, slope, offset) = bc.value
+        cost, (weights, slope, offset, odds) = bc.value
         r = Restorer(cost, weights)
+        odds = odds.tolist()
+        crc = zlib.crc32
         for b in batches:
             scores = []
             for _, t, s in texts(b.column(0)):
                 total = evidence(r.words(t, s), weights)
+                places = [crc(x.encode()) % RANKS for x in set(t.split())]
+                total += math.tanh(sum(map(odds.__getitem__, places)) / len(places)) if places else -1.0  # between -1 and 1, of an offset of 2.5
                 scores.append(1 / (1 + math.exp(-slope * (min(total, 20.0) - offset))))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64())], schema=pa.schema([*list(b.schema)[1:], pa.field(name, pa.float64())]))
 

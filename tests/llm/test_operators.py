@@ -443,6 +443,12 @@ def test_toxicity(spark, none):
     got = by_id(toxicity.toxicity_scores(df, lab, ~textbuf.held_out(F.col("doc_id"))))
     assert all((got[i].score >= 0.5) == bool(t) for i, t in labels)
     assert all(got[i].score >= 0.5 for i in (1000, 1001, 1002)) and got[1003].score == got[1004].score < 0.5
+    assert len({round(got[i].score, 9) for i, t in labels if not t}) > 50  # texts without a listed word are ranked too
+    both = spark.createDataFrame([(0, 0), (0, 0)], "doc_id long, toxic int").union(lab)  # 0 is labelled both ways
+    assert {i: r.score >= 0.5 for i, r in by_id(toxicity.toxicity_scores(df, both, F.lit(True))).items()} == {i: r.score >= 0.5 for i, r in got.items()}
+    long = spark.createDataFrame([(7, "calm words " * 200_000 + "idiot"), (8, "calm words " * 200_000)], "doc_id long, text string")
+    scored = by_id(toxicity.toxicity_scores(df.union(long), lab, F.lit(True)))
+    assert scored[7].score >= 0.5 > scored[8].score
     kept = toxicity.without_toxic(df.withColumn("score", F.lit(1)), lab, F.lit(True))
     assert kept.columns == ["doc_id", "text", "score"] and kept.count() == 322
     assert toxicity.toxicity_scores(none, lab, F.lit(True)).count() == 0
@@ -453,15 +459,59 @@ def test_restoring():
     import numpy as np
 
     cost = np.full((28, 28, 28), 3.0).tolist()
-    assert toxicity.restore("st00pid", cost) == "stoopid" and toxicity.restore("plain", cost) == "plain"
+    looks = {c: dict.fromkeys(x, 1.0) for c, x in toxicity.LOOKS.items()}
+    assert toxicity.restore("st00pid", cost, looks) == "stoopid" and toxicity.restore("plain", cost, looks) == "plain"
     assert toxicity.spaced_runs("say i d i o t now") == ["idiot"] and toxicity.spaced_runs("a b c") == []
 
 
+def all_readings(observed, cost, looks, spaced):
+    """Every reading of a word with its cost, one character after the other."""
+    paths = [((0, 0), "", "", 0.0)]  # last two codes, the last letter, the reading, the cost
+    for i, seen in enumerate(observed):
+        drawn = seen * 3 in observed[max(0, i - 2) : i + 3]
+        options = ([(seen, 0.0)] if seen.isalpha() else []) + list(looks.get(seen, {}).items()) or [(seen, 0.0)]
+        after = []
+        for (a, b), letter, reading, total in paths:
+            for c, extra in options:
+                k = toxicity.code(c)
+                after.append(((b, k), c, reading + c, total + extra + cost[a][b][k]))
+                if c == letter and drawn:
+                    after.append(((a, b), letter, reading, total + extra + toxicity.REPEAT))
+                if spaced and reading:
+                    after.append(((0, k), c, reading + " " + c, total + extra + toxicity.BREAK + cost[a][b][0] + cost[b][0][k]))
+        paths = after
+    return {reading: min(t + cost[a][b][0] for (a, b), _, r, t in paths if r == reading) for _, _, reading, _ in paths}
+
+
+def test_restoring_equals_brute_force():
+    import numpy as np
+
+    rng = random.Random(23)
+    cost = np.random.default_rng(3).uniform(0.5, 6, (28, 28, 28)).tolist()
+    looks = {c: {y: rng.uniform(0.2, 3) for y in x} for c, x in toxicity.LOOKS.items()}
+    for n in range(300):
+        observed = "".join(rng.choice("ai1l|!eé3sooo$") for _ in range(rng.randint(1, 6)))
+        spaced = n % 3 == 0
+        found, readings = toxicity.restore(observed, cost, looks, spaced), all_readings(observed, cost, looks, spaced)
+        assert readings[found] == pytest.approx(min(readings.values())), observed
+
+
+def test_channel_learns_what_fits():
+    import numpy as np
+
+    p2 = np.full((28, 28), 0.01)
+    p2[1, 9], p2[9, 2] = 0.5, 0.5  # a-i and i-b are common, a-l and l-b are not
+    seen = np.zeros((len(toxicity.LOOK_BYTES), 28, 28))
+    seen[toxicity.LOOK_BYTES.index("1"), 1, 2] = 1000
+    learned = toxicity.channel(seen, p2)
+    assert learned["1"]["i"] < 0.1 < learned["1"]["l"] and learned["|"]["i"] > 3 and set(learned) == set(toxicity.LOOKS)
+
+
 def test_restoring_at_the_end_of_words():
     import numpy as np
     import pyarrow as pa
 
-    known = toxicity.Restorer(np.full((28, 28, 28), 3.0))
+    known = toxicity.Restorer((np.full((28, 28, 28), 3.0), {c: dict.fromkeys(x, 1.0) for c, x in toxicity.LOOKS.items()}))
     for token, word in {"a$$": "ass", "shi+": "shit", "pus$": "puss", "@$$": "ass", "(a$$).": "ass", "shi+!": "shit", "a$$!!!": "ass"}.items():
         assert word in known.readings(token), token
     assert known.readings("plain!")[0] == "plain" and known.readings("455") == () and known.readings("") == ()
