@@ -5,7 +5,7 @@ Equal windows have equal anchors, so only windows with a common anchor need to b
 
 1. Documents are dealt into groups g of about `group_bytes`. Each group sends the distinct hashes of its anchors, a few
    bytes for 15 bytes of text, to buckets, which return those that other documents hold too, and which of them are
-   heavy: more than `heavy` occurrences in groups (at most 255 a group are counted).
+   heavy: more than about `heavy` occurrences.
 2. For the shared anchors each group sends its distinct contexts (the bytes of the windows that an anchor stands for)
    with the smallest doc_id that holds them; a document with a larger one is covered there without further ado.
 3. A bucket keeps a logarithmic index family. Contexts come in order of doc_id, in batches; a batch gets the sorted
@@ -47,6 +47,7 @@ LAST_ID = np.iinfo(np.int64).max
 CODES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
 STEP = U(0x9E3779B97F4A7C15 | 1)
 CHUNK = 1 << 20
+COUNTS = 2.0 ** (np.maximum(np.arange(256) - 1, 0) / 8)  # what the steps of a count stand for
 
 
 def anchor_hashes(data: np.ndarray) -> np.ndarray:
@@ -298,7 +299,7 @@ def blob(table: pa.Table, kind: int) -> list[tuple[int, int, bytes, bytes]]:
     return sorted((b, g, x, y) for k, b, g, x, y in zip(got["kind"], got["bucket"], got["g"], got["a"], got["b"], strict=True) if k == kind)
 
 
-def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_text: bool = False, heavy: int = 4096, most_tasks: int = 20_000) -> DataFrame:
+def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_text: bool = False, heavy: int = 1 << 16, most_tasks: int = 20_000) -> DataFrame:
     """doc_id and the counts of KEEPS for every row, in any order; with_text adds the text kept, at whole characters.
     most_tasks: beyond so many groups a task takes several of them, one after the other."""
     spark = df.sparkSession
@@ -331,7 +332,8 @@ def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_te
         bucket, short, ids = bucket[order], short[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], (short[1:] != short[:-1]) | (bucket[1:] != bucket[:-1])])) if len(h) else np.zeros(0, np.int64)
         several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.zeros(0, bool)
-        times = np.where(several, np.minimum(np.diff(np.append(first, len(h))), 255), 0).astype(np.uint8)  # 0: in one document
+        n = np.diff(np.append(first, len(h)))
+        times = np.where(several, 8 * np.log2(np.maximum(n, 1)) + 1, 0).astype(np.uint8)  # eight steps to a power of 2; 0: in one document
         short = short[first]
         return rows_out([(0, b, key[0].as_py(), pack_sorted(short[x]), pack(times[x])) for b, x in split(bucket[first])])
 
@@ -339,13 +341,13 @@ def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_te
         got = blob(table, 0)
         parts = [unpack_sorted(x) for _, _, x, _ in got]
         h = np.concatenate(parts)
-        times = np.concatenate([unpack(y, np.uint8) for *_, y in got]).astype(np.int64)
+        times = np.concatenate([unpack(y, np.uint8) for *_, y in got])
         order = np.argsort(h, kind="stable")
         new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
         first = np.flatnonzero(new)
         groups = np.diff(np.append(first, len(h)))
         many = (groups > 1) | (np.maximum.reduceat(times[order], first) > 0)
-        often = np.add.reduceat(np.maximum(times[order], 1), first) > heavy
+        often = np.add.reduceat(COUNTS[times[order]], first) > heavy
         out, hot = np.empty(len(h), bool), np.empty(len(h), bool)
         out[order], hot[order] = np.repeat(many, groups), np.repeat(often, groups)
         cuts = np.cumsum([len(p) for p in parts])[:-1]

@@ -48,7 +48,7 @@ REPEAT, BREAK = 1.5, 4.0  # costs, in nats
 PREFIXES = (4, 5, 6)
 KEPT_WORDS, RANKS = 300_000, 1 << 16
 LOOK_BYTES = [c for c in LOOKS if c.isascii()]
-LOOK_CODE = np.zeros(256, np.int64)
+LOOK_CODE = np.zeros(256, np.uint8)
 LOOK_CODE[[ord(c) for c in LOOK_BYTES]] = np.arange(1, len(LOOK_BYTES) + 1)
 
 
@@ -60,18 +60,23 @@ def character_model(df: DataFrame, text: str = "text") -> tuple[np.ndarray, dict
         total = np.zeros((len(LOOK_BYTES) + 1) * N**3, np.int64)
         for b in batches:
             for _, _, data, offs in chunks(b.column(0)):
-                look = np.insert(LOOK_CODE[data], offs[:-1], 0)
-                c = np.insert(CODE[data], offs[:-1], BORDER)  # texts are apart
+                codes = CODE[data]
+                c = np.insert(codes, offs[:-1], BORDER)  # texts are apart
                 if len(c) > 2:
                     total[: N**3] += np.bincount((c[:-2] * N + c[1:-1]) * N + c[2:], minlength=N**3)
-                    at = np.flatnonzero(look[1:-1] * (c[:-2] > 0) * (c[2:] > 0)) + 1
-                    total += np.bincount(look[at] * N**3 + c[at - 1] * N + c[at + 1], minlength=len(total))
+                looks = LOOK_CODE[data]
+                edge = np.zeros(len(data) + 1, bool)
+                edge[offs] = True
+                at = np.flatnonzero(looks)
+                at = at[~edge[at] & ~edge[at + 1]]
+                at = at[(codes[at - 1] > 0) & (codes[at + 1] > 0)]
+                total += np.bincount(looks[at].astype(np.int64) * N**3 + codes[at - 1] * N + codes[at + 1], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["triple", "n"])
 
     counts = np.zeros((len(LOOK_BYTES) + 1) * N**3)
-    for r in df.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n")).collect():
-        counts[r.triple] = r.n
+    got = df.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n")).toArrow()
+    counts[got.column(0).to_numpy()] = got.column(1).to_numpy()
     looks = counts[N**3 :].reshape(len(LOOK_BYTES), N, N, N)[:, 0]
     counts = counts[: N**3].reshape(N, N, N)
     two = counts.sum(0)
@@ -159,9 +164,10 @@ class Restorer:
     """Distinct restored words of a text, with a bounded table of tokens seen before; only words with evidence under
     `weights`, if they are given. model: what `character_model` gives."""
 
-    def __init__(self, model, weights: dict[str, float] | None = None):
-        self.cost, self.looks, self.weights = model[0].tolist(), model[1], weights
+    def __init__(self, model, weights: dict[str, float] | None = None, odds: np.ndarray | None = None):
+        self.cost, self.looks, self.weights, self.odds = model[0].tolist(), model[1], weights, odds
         self.seen: dict[str, tuple[str, ...]] = {}
+        self.odd: dict[str, float] = {}  # the same tokens' log-odds
 
     def readings(self, token: str) -> tuple[str, ...]:
         whole = token.lower().rstrip(EDGE + TAIL).lstrip(EDGE)
@@ -175,6 +181,7 @@ class Restorer:
         found = tuple(dict.fromkeys(words if self.weights is None else (w for w in words if any(f in self.weights for f in features(w)))))
         if len(self.seen) >= KEPT_WORDS:
             self.seen.clear()
+            self.odd.clear()
         self.seen[token] = found
         return found
 
@@ -191,10 +198,23 @@ class Restorer:
             out.setdefault(w, "")
         return out
 
-    def words(self, text: str, spaced: bool) -> set[str]:
+    def mean_odds(self, tokens: set[str]) -> float:
+        """The mean log-odds of distinct tokens, between -1 and 1; -1 without any."""
+        try:
+            return math.tanh(sum(map(self.odd.__getitem__, tokens)) / len(tokens))
+        except KeyError:
+            if len(self.odd) >= KEPT_WORDS:
+                self.odd.clear()
+            self.odd |= {x: float(self.odds[rank_of(x)]) for x in tokens if x not in self.odd}
+            return math.tanh(sum(map(self.odd.__getitem__, tokens)) / len(tokens))
+        except ZeroDivisionError:
+            return -1.0
+
+    def words(self, text: str, spaced: bool, tokens: set[str] | None = None) -> set[str]:
+        """The distinct restored words of a text; tokens: its distinct tokens, where they are at hand."""
         out: set[str] = set()
         get = self.seen.get
-        for token in set(text.split()):
+        for token in set(text.split()) if tokens is None else tokens:
             found = get(token)
             if found is None:
                 found = self.readings(token)
@@ -315,8 +335,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost, n_toxic: int =
 
     def ranked(toxic: bool, most: int) -> np.ndarray:
         out = np.zeros(RANKS)
-        for r in sample(toxic, most).mapInArrow(ranks, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():  # RANKS rows at most
-            out[r.place] = r.n
+        got = sample(toxic, most).mapInArrow(ranks, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # RANKS rows at most
+        out[got.column(0).to_numpy()] = got.column(1).to_numpy()
         return out
 
     clean = {r.feature: r.n for r in sample(False, n_clean).mapInArrow(clean_counts, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
@@ -366,15 +386,13 @@ def score_documents(df: DataFrame, cost: np.ndarray, model, text: str = "text",
 
     def run(batches):
         cost, (weights, slope, offset, odds) = bc.value
-        r = Restorer(cost, weights)
-        odds = odds.tolist()
-        crc = zlib.crc32
+        r = Restorer(cost, weights, odds)
         for b in batches:
             scores = []
             for _, t, s in texts(b.column(0)):
-                total = evidence(r.words(t, s), weights)
-                places = [crc(x.encode()) % RANKS for x in set(t.split())]
-                total += math.tanh(sum(map(odds.__getitem__, places)) / len(places)) if places else -1.0  # between -1 and 1, of an offset of 2.5
+                tokens = set(t.split())
+                total = evidence(r.words(t, s, tokens), weights)
+                total += r.mean_odds(tokens)  # between -1 and 1, of an offset of 2.5
                 scores.append(1 / (1 + math.exp(-slope * (min(total, 20.0) - offset))))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64())], schema=pa.schema([*list(b.schema)[1:], pa.field(name, pa.float64())]))
 
