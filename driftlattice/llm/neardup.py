@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from driftlattice.llm.components import components
 from driftlattice.llm.licenses import CLEAN
-from driftlattice.llm.textbuf import bounded_batches, checkpointed, chunks, stored
+from driftlattice.llm.textbuf import bounded_batches, checkpointed, chunks, forget, stored
 
 BANDS, ROWS, BUCKETS, SHINGLE = 12, 4, 1 << 17, 5
 U = np.uint64
@@ -67,6 +67,7 @@ def document_frequencies(df: DataFrame, text: str = "text", buckets: int = BUCKE
     """Inverse document frequencies by place, and the number of documents."""
 
     def count(batches):
+        forget()
         total, rows = np.zeros(buckets, np.int64), 0
         for b in batches:
             rows += len(b)
@@ -156,6 +157,7 @@ def signatures(df: DataFrame, idf: np.ndarray, n: int = BANDS * ROWS) -> DataFra
     bc = df.sparkSession.sparkContext.broadcast(idf)  # 2^17 numbers at any size
 
     def run(batches):
+        forget()
         for b in batches:
             for i, j, data, offs in chunks(b.column(2), 2 << 20):
                 row, h, w = shingles(data, offs, bc.value)
@@ -327,6 +329,7 @@ def crossing(rows: DataFrame, texts: DataFrame, idf: np.ndarray, agree: float, t
             yield b, hs, ws
 
     def run(batches):
+        forget()
         key, kept = None, []
         for b, hs, ws in with_features(batches):
             for r in zip(*[c.to_pylist() for c in b.columns[:8]], hs, ws, strict=True):

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,7 +32,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlattice.llm.textbuf import chunks
+from driftlattice.llm.textbuf import chunks, kept
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -224,16 +223,11 @@ class Encoder:
         return self.decoded(ids).decode("utf-8", "replace")
 
 
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def encode_documents(df: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
     """doc_id, n_ids, ids, and whether decoding the ids gives the text back."""
 
     def run(batches):
-        e = encoder(path)
+        e = kept(("pieces", path), lambda: Encoder(path))
         for b in batches:
             for i, j, data, offs in chunks(b.column(1), 2 << 20):
                 ids, sizes, same = array("i"), [0], []
@@ -254,7 +248,7 @@ def decode_documents(df: DataFrame, ids: str = "ids", path: str = MODEL) -> Data
     """doc_id and the text that its ids stand for; null ids count as none."""
 
     def run(batches):
-        e = encoder(path)
+        e = kept(("pieces", path), lambda: Encoder(path))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.decode(x or ()) for x in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from driftlattice.llm.textbuf import bounded_batches, chunks, stored
+from driftlattice.llm.textbuf import bounded_batches, chunks, forget, stored
 
 LENGTH, ANCHOR = 50, 22
 OFFSETS = LENGTH - ANCHOR + 1
@@ -314,6 +314,7 @@ def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_te
     schema = to_arrow_schema(docs.select(*columns).schema)
 
     def deal(batches):
+        forget()
         for batch in batches:
             for b in (batch.slice(k, 4096) for k in range(0, len(batch), 4096)):
                 parts = split(b.column("g").to_numpy())
@@ -321,6 +322,7 @@ def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_te
                 yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in parts], pa.int32()), pa.array([packed(docs.take(pa.array(x))) for _, x in parts], pa.binary())], names=["g", "packet"])
 
     def offer(key, table):
+        forget()
         h, ids = [], []
         group = Group(unpacked(table, schema))
         for i, _, _, _, (row, _, hashes, _, _) in group.parts():
@@ -379,6 +381,7 @@ def dedup(df: DataFrame, text: str = "text", group_bytes: int = 6 << 20, with_te
         return rows_out(rows + [(4, b, g, pack(windows.windows[x]), pack(windows.least[x])) for b, x in windows.parts])
 
     def index(key, table):
+        forget()
         rows = []
         if got := blob(table, 2):
             ids = [unpack(y, np.int64) for *_, y in got]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from driftlattice.session import checkpoint_dir, checkpointed
 
 
-__all__ = ["bounded_batches", "checkpoint_dir", "checkpointed", "chunks", "held_out", "read_table", "row_of", "stored", "utf8"]
+__all__ = ["bounded_batches", "checkpoint_dir", "checkpointed", "chunks", "forget", "held_out", "kept", "read_table", "row_of", "stored", "utf8"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,22 @@ def chunks(column: pa.Array, most: int = 4 << 20):
         first = last
 
 
+_KEPT: dict = {}
+
+
+def kept(name, make):
+    """What a Python worker keeps between its tasks under a name. It keeps one thing at a time, so that the tables of
+    operators that follow one another in a worker don't add up."""
+    if name not in _KEPT:
+        forget()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    _KEPT.clear()
+
+
 def row_of(positions: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """The row that each byte position lies in."""
     return np.searchsorted(offs, positions, side="right") - 1

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from driftlattice.llm.textbuf import chunks
+from driftlattice.llm.textbuf import chunks, forget, kept
 
 BORDER, OTHER, N = 0, 27, 28
 CODE = np.full(256, BORDER, np.int64)
@@ -46,7 +46,7 @@ EDGE = ".,;:?\"'()[]{}<>%&#*-_=~^`/\\…«»¿¡"
 SUSPECT = re.compile(r"^[0-9@$!|+€]*[@$!|+€][0-9@$!|+€]*$|[^\W\d_][0-9@$!|+€]|[0-9@$!|+€][^\W\d_]|([^\W\d_])\1\1")  # numbers stay numbers
 REPEAT, BREAK = 1.5, 4.0  # costs, in nats
 PREFIXES = (4, 5, 6)
-KEPT_WORDS, RANKS = 300_000, 1 << 16
+KEPT_WORDS, RANKS = 200_000, 1 << 16
 LOOK_BYTES = [c for c in LOOKS if c.isascii()]
 LOOK_CODE = np.zeros(256, np.uint8)
 LOOK_CODE[[ord(c) for c in LOOK_BYTES]] = np.arange(1, len(LOOK_BYTES) + 1)
@@ -57,6 +57,7 @@ def character_model(df: DataFrame, text: str = "text") -> tuple[np.ndarray, dict
     28^3 of triples and as many of look-alikes for each of their kinds."""
 
     def count(batches):
+        forget()
         total = np.zeros((len(LOOK_BYTES) + 1) * N**3, np.int64)
         for b in batches:
             for _, _, data, offs in chunks(b.column(0)):
@@ -286,6 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost, n_toxic: int =
 
     def own_words(batches):
         """The restored words of each text, and a hash of the token before each."""
+        forget()
         r = Restorer(bc.value)
         for b in batches:
             found = [sorted(r.in_order(t, s).items()) for _, t, s in texts(b.column(0))]
@@ -316,6 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost, n_toxic: int =
     names = sc.broadcast(frozenset(holds))
 
     def clean_counts(batches):
+        forget()
         r, n, rows = Restorer(bc.value), Counter(), 0
         for b in batches:
             for _, t, s in texts(b.column(0)):
@@ -326,6 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost, n_toxic: int =
 
     def ranks(batches):
         """How many texts hold a token of each place."""
+        forget()
         n = np.zeros(RANKS, np.int64)
         for b in batches:
             for _, t, _ in texts(b.column(0)):
@@ -386,7 +390,7 @@ def score_documents(df: DataFrame, cost: np.ndarray, model, text: str = "text",
 
     def run(batches):
         cost, (weights, slope, offset, odds) = bc.value
-        r = Restorer(cost, weights, odds)
+        _, r = kept(("toxicity", id(bc.value)), lambda: (bc.value, Restorer(cost, weights, odds)))  # the value is held, so its id stays its own
         for b in batches:
             scores = []
             for _, t, s in texts(b.column(0)):
