@@ -269,6 +269,32 @@ def texts(batch_column: pa.Array):
             yield i + r, data[p:q].tobytes().decode("utf-8", "replace"), bool(flags[r])
 
 
+def features_held(got: pa.Table) -> tuple[int, int, dict[str, list[int]]]:
+    """From the words of texts and hashes of what stands before them: the number of texts, in how many a feature must be,
+    and the texts of each feature that is in enough of them and beside several words."""
+    lists = got.column(0).combine_chunks()
+    n1 = len(lists)
+    least = max(2, n1 // 500)
+    text_of = np.repeat(np.arange(n1), np.diff(lists.offsets.to_numpy()))
+    encoded = lists.flatten().dictionary_encode()
+    codes, names_ = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
+    before = got.column(1).combine_chunks().flatten().to_numpy()
+    number: dict[str, int] = {}
+    own = [[number.setdefault(f, len(number)) for f in features(w)] for w in names_]
+    sizes = np.array([len(x) for x in own], np.int64)
+    flat, ends = np.array([f for x in own for f in x], np.int64), np.cumsum(sizes)
+    spread = np.repeat(np.arange(len(codes)), sizes[codes]) if len(codes) else np.zeros(0, np.int64)
+    inner = np.arange(len(spread)) - np.repeat(np.cumsum(sizes[codes]) - sizes[codes], sizes[codes]) if len(codes) else spread
+    feature = flat[(ends - sizes)[codes[spread]] + inner] if len(codes) else spread
+    in_texts = np.unique(feature * max(n1, 1) + text_of[spread])
+    times = np.bincount(in_texts // max(n1, 1), minlength=len(number))
+    neighbours = np.bincount(np.unique(np.stack([feature, before[spread]]), axis=1)[0], minlength=len(number)) if len(feature) else times
+    # a word of one text's near copies always stands beside the same words, one that people use does not
+    fine = (times >= least) & (neighbours >= np.maximum(2, np.minimum(5, times // 3)))
+    starts = np.searchsorted(in_texts, np.arange(len(number) + 1) * max(n1, 1))
+    return n1, least, {f: (in_texts[starts[k] : starts[k + 1]] % max(n1, 1)).tolist() for f, k in number.items() if fine[k]}
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost, n_toxic: int = 2000, n_clean: int = 6000, precision: float = 0.995, cover: int = 3, most_bytes: int = 1 << 17):
     """(weight of each learned feature, slope, offset, log-odds of each place of words), from docs(doc_id, text) with
     labels(doc_id, toxic) where `learn` holds. About n_toxic and n_clean labelled rows are drawn by digest before texts
@@ -294,27 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost, n_toxic: int =
             yield pa.RecordBatch.from_arrays([pa.array([[w for w, _ in x] for x in found], pa.list_(pa.string())), pa.array([[zlib.crc32(y.encode()) for _, y in x] for x in found], pa.list_(pa.int64()))], names=["words", "before"])
 
     got = sample(True, n_toxic).mapInArrow(own_words, "words array<string>, before array<bigint>").distinct().toArrow().combine_chunks()  # copies of one text count once
-    lists = got.column(0).combine_chunks()
-    n1 = len(lists)
-    least = max(2, n1 // 500)
-    text_of = np.repeat(np.arange(n1), np.diff(lists.offsets.to_numpy()))
-    encoded = lists.flatten().dictionary_encode()
-    codes, names_ = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
-    before = got.column(1).combine_chunks().flatten().to_numpy()
-    number: dict[str, int] = {}
-    own = [[number.setdefault(f, len(number)) for f in features(w)] for w in names_]
-    sizes = np.array([len(x) for x in own], np.int64)
-    flat, ends = np.array([f for x in own for f in x], np.int64), np.cumsum(sizes)
-    spread = np.repeat(np.arange(len(codes)), sizes[codes]) if len(codes) else np.zeros(0, np.int64)
-    inner = np.arange(len(spread)) - np.repeat(np.cumsum(sizes[codes]) - sizes[codes], sizes[codes]) if len(codes) else spread
-    feature = flat[(ends - sizes)[codes[spread]] + inner] if len(codes) else spread
-    in_texts = np.unique(feature * max(n1, 1) + text_of[spread])
-    times = np.bincount(in_texts // max(n1, 1), minlength=len(number))
-    neighbours = np.bincount(np.unique(np.stack([feature, before[spread]]), axis=1)[0], minlength=len(number)) if len(feature) else times
-    # a word of one text's near copies always stands beside the same words, one that people use does not
-    fine = (times >= least) & (neighbours >= np.maximum(2, np.minimum(5, times // 3)))
-    starts = np.searchsorted(in_texts, np.arange(len(number) + 1) * max(n1, 1))
-    holds = {f: (in_texts[starts[k] : starts[k + 1]] % max(n1, 1)).tolist() for f, k in number.items() if fine[k]}
+    n1, least, holds = features_held(got)
+    del got
     names = sc.broadcast(frozenset(holds))
 
     def clean_counts(batches):
@@ -343,7 +350,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost, n_toxic: int =
         out[got.column(0).to_numpy()] = got.column(1).to_numpy()
         return out
 
-    clean = {r.feature: r.n for r in sample(False, n_clean).mapInArrow(clean_counts, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    counted = sample(False, n_clean).mapInArrow(clean_counts, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    clean = dict(zip(counted.column(0).to_pylist(), counted.column(1).to_pylist(), strict=True))
     n0 = clean.get("", 0)
     rate = lambda f, at: ((at + 0.5) / (n1 + 1), (clean.get(f, 0) + 0.5) / (n0 + 1))
     share = max(n1, 1) / max(n1 + n0, 1)
