@@ -8,7 +8,8 @@ feature space. Prediction is two matrix products for a block of texts: presence
 
 Defined results: a text that is null or has no letter is `und` with score 0; with nothing to learn from, every text is.
 Repeated rows get the same result; texts are read whole, in blocks. Numbers, marks and control characters count as
-spaces, A-Z as a-z.
+spaces, A-Z as a-z. Of languages with equal scores the first by name counts; columns besides doc_id and the text (and, in
+`fit`, the label) are left out, whatever their names.
 """
 
 from __future__ import annotations

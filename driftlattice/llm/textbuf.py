@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from driftlattice.session import checkpoint_dir, checkpointed
 
 
-__all__ = ["bounded_batches", "checkpoint_dir", "checkpointed", "chunks", "forget", "held_out", "kept", "read_table", "row_of", "stored", "utf8"]
+__all__ = ["bounded_batches", "checkpoint_dir", "checkpointed", "chunks", "forget", "held_out", "kept", "read_table", "row_of", "stored", "temporary_tables", "utf8"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,15 +64,46 @@ def row_of(positions: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.searchsorted(offs, positions, side="right") - 1
 
 
+_TEMPORARY: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
+
+
 def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if (paths := _TEMPORARY.get()) is not None:
+        paths.append(path)
     writer = df.write
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Deletes the tables that `stored` writes inside. Gives a function that deletes those so far but the last one: what
+    was written on the way to it. At the end the last one stays; after an error none does."""
+    paths: list[str] = []
+
+    def delete(gone: list[str]) -> None:
+        for name in gone:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def all_but_last() -> None:
+        delete(paths[:-1])
+        del paths[:-1]
+
+    token = _TEMPORARY.set(paths)
+    try:
+        yield all_but_last
+        all_but_last()
+    except BaseException:
+        delete(paths)
+        raise
+    finally:
+        _TEMPORARY.reset(token)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that nothing may learn from: crc32 of doc_id as text, modulo 5, is 0. A null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))

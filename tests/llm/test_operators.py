@@ -428,6 +428,60 @@ def test_language(spoken, none):
     assert {r.lang_pred for r in langid.identify(spoken, None).collect()} == {"und"}
 
 
+def test_language_equals_the_kernel_form(spoken):
+    """Sets of n-grams, and the dual solution of the ridge regression over Nystroem's kernel of all learned texts."""
+    import numpy as np
+
+    def places(text):
+        raw = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.encode().lower())
+        grams = {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+        spot = {1: lambda v: v, 2: lambda v: 256 + (v * 40503 >> 4) % (langid.DIMS - 256), 3: lambda v: 256 + (v * 2654435761 >> 11) % (langid.DIMS - 256)}
+        return {spot[len(g)](int.from_bytes(g, "big")) for g in grams}
+
+    def k(a, b):
+        return np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in b] for x in a])
+
+    rows = sorted((r.doc_id, r.lang, r.text) for r in spoken.collect() if r.lang and r.text)
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    langs, n_marks, ridge = sorted({r[1] for r in learned}), 12, 1e-2
+    sets = [places(t) for *_, t in learned]
+    marks = [s for c in langs for s in [s for s, r in zip(sets, learned, strict=True) if r[1] == c][:n_marks]]
+    weight = np.array([1 / sum(q[1] == r[1] for q in learned) for r in learned])
+    inverse = np.linalg.inv(k(marks, marks))
+    near = k(sets, marks)
+    signs = np.array([[1.0 if r[1] == c else -1.0 for c in langs] for r in learned])
+    alpha = np.linalg.solve(near @ inverse @ near.T + 1 + ridge * np.diag(1 / weight), signs)
+    expected = (k([places(t) for *_, t in rows], marks) @ inverse @ near.T + 1) @ alpha
+
+    model = langid.fit(spoken, ~textbuf.held_out(F.col("doc_id")), per_language=1000, landmarks=n_marks, ridge=ridge)
+    clash = spoken.select("*", *[F.lit("x").alias(c) for c in ("lang_pred", "score", "bits", "key")])
+    got = by_id(langid.identify(clash, model))
+    assert model[0] == langs
+    for (i, *_), f in zip(rows, expected, strict=True):
+        top = np.sort(f)
+        assert got[i].score == pytest.approx(min(max((top[-1] + 1) / 2, 0), 1), abs=2e-3)
+        assert got[i].lang_pred == langs[f.argmax()] or top[-1] - top[-2] < 2e-3
+
+
+def test_very_long_texts(spark):
+    """Texts beyond the operators' chunks, beside short ones, against the same scans of whole texts."""
+    rng = random.Random(12)
+    part = prose(rng, 120)
+    long = prose(rng, 250_000) + " Cc by " + part + " all rights reserved"
+    assert len(long) > 1 << 20
+    rows = [(1, part, "en", "a", 0), (2, long, "en", "a", 0), (3, part + " end", "en", "b", 0), (4, "cc by " + part, "en", None, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: tuple(r) for r in suffixdedup.dedup(df, group_bytes=1000).collect()} == removed_by_scan([(i, t) for i, t, *_ in rows])
+    licensed = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.license_scan(df).collect()}
+    n = len(words(long))
+    assert licensed[2] == (n, 2, n - len(words(part)) - 5, n - 3, "cc-by,reserved") and licensed[4][1:4] == (1, 0, 0)
+    judged = {r.doc_id: (r.n_words, r.word_chars) for r in quality.quality_rules(df).collect()}
+    assert judged == {i: (len(w), sum(map(len, w))) for i, t, *_ in rows for w in [re.findall(r"[^\x20\x09-\x0D]+", t)]}
+    mixed = by_id(mixing.mix(df))
+    assert all(mixed[i].size == judged[i][0] and mixed[i].taken <= 2 * mixed[i].size for i in mixed)
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1, 4: 1}
+
+
 def test_toxicity(spark, none):
     rng = random.Random(6)
     rows, labels = [], []
@@ -714,6 +768,28 @@ def test_sainte_lague(spark):
         assert got == {k: won[k] for k in votes}
 
 
+def test_temporary_tables(spark, tmp_path):
+    import os
+
+    folder = textbuf.checkpoint_dir(spark).removeprefix("file:")
+
+    def tables():
+        return {x for x in os.listdir(folder) if x.startswith("table-")} if os.path.isdir(folder) else set()
+
+    before = tables()
+    with textbuf.temporary_tables(spark) as all_but_last:
+        first = textbuf.stored(spark.range(5))
+        textbuf.stored(first.filter("id > 1"))
+        all_but_last()
+        assert len(tables() - before) == 1
+        last = textbuf.stored(spark.range(7))
+    assert len(tables() - before) == 1 and last.count() == 7
+    with pytest.raises(ValueError), textbuf.temporary_tables(spark):
+        textbuf.stored(spark.range(5))
+        raise ValueError
+    assert len(tables() - before) == 1
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
