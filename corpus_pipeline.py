@@ -13,7 +13,7 @@ from driftlattice.llm.mixing import mixed_documents
 from driftlattice.llm.neardup import one_of_each
 from driftlattice.llm.pieces import encode_documents
 from driftlattice.llm.suffixdedup import without_repeats
-from driftlattice.llm.textbuf import held_out, read_table, stored
+from driftlattice.llm.textbuf import held_out, read_table, stored, temporary_tables
 from driftlattice.llm.toxicity import without_toxic
 from driftlattice.session import with_package
 
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What stages wrote on the way is deleted once the next one's rows are written."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+    with temporary_tables(spark) as all_but_last:
+        for _, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir))
+            all_but_last()
     return docs
