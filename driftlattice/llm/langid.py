@@ -2,7 +2,8 @@
 
 A text is the set of its byte n-grams of lengths 1 to 3 (the blended spectrum), hashed to `DIMS` places. The kernel of
 two texts is the number of common n-grams over the geometric mean of their numbers (a presence kernel). `fit` draws a
-bounded sample of labelled rows (at most `per_language` a language, those with the smallest digests of doc_id), takes
+bounded sample of labelled rows (at most `per_language` a language, those with the smallest digests of doc_id; of the
+texts of one doc_id the smallest), takes
 `landmarks` of each language as Nyström landmarks, and solves one-versus-rest kernel ridge regression in the landmarks'
 feature space. Prediction is two matrix products for a block of texts: presence times landmarks, kernels times weights.
 
@@ -67,10 +68,10 @@ def fit(df: DataFrame, learn: Column, label: str = "lang", text: str = "text", p
     rows = df.filter(learn & F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col("doc_id").cast("long"), F.col(label).alias("lang"), F.col(text).alias("text"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     share = F.conv(F.substring(key, 1, 7), 16, 10).cast("double") / float(1 << 28)
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed("lang", "__lang")
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("__n")).withColumnRenamed("lang", "__lang")
     near = rows.select("doc_id", "lang", key.alias("key"), share.alias("share")).join(F.broadcast(counts), F.col("lang") == F.col("__lang"))
     near = near.filter(F.col("share") * F.col("__n") <= 3 * per_language + 64)  # a few times the sample of each language, however many rows it has
-    picked = near.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))).filter(F.col("rn") <= per_language).select("doc_id")
+    picked = near.select("doc_id", "lang", "key").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))).filter(F.col("rn") <= per_language).select("doc_id", "lang")
 
     def digest(batches):
         for b in batches:
@@ -80,7 +81,7 @@ def fit(df: DataFrame, learn: Column, label: str = "lang", text: str = "text", p
                     bits = [np.packbits(x.astype(bool)).tobytes() if fine else None for x, fine in zip(presence(d, o), ok[p:q], strict=True)]
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i + p, q - p), b.column(2).slice(i + p, q - p), pa.array(bits, pa.binary())], names=["doc_id", "lang", "bits"])
 
-    sample = rows.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").select("doc_id", "text", "lang")
+    sample = rows.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
     got = sorted((r for r in sample.mapInArrow(digest, "doc_id long, lang string, bits binary").collect() if r.bits), key=lambda r: (r.doc_id, r.lang, bytes(r.bits)))
     langs = sorted({r.lang for r in got})
     if not langs:

@@ -424,6 +424,9 @@ def test_language(spoken, none):
     tested = [r for r in rows if r.held and r.text and any(c.isalpha() for c in r.text)]
     assert sum(got[r.doc_id].lang_pred == r.lang for r in tested) / len(tested) > 0.95
     assert [got[i].lang_pred for i in (500, 501, 502)] == ["und"] * 3 and all(0 <= r.score <= 1 for r in got.values())
+    repeated = spoken.union(spoken.filter("doc_id = 1").crossJoin(spoken.sparkSession.range(500)).drop("id"))
+    again = langid.fit(repeated, ~held, per_language=40, landmarks=10)
+    assert again[0] == model[0] and all((x == y).all() for x, y in zip(again[1:], model[1:], strict=True))  # a doc_id is one row of the sample
     assert langid.fit(none, F.lit(True)) is None
     assert {r.lang_pred for r in langid.identify(spoken, None).collect()} == {"und"}
 
