@@ -21,6 +21,7 @@ labelled rows every text has the same score, below 0.5. Texts are read whole.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -269,30 +270,22 @@ def texts(batch_column: pa.Array):
             yield i + r, data[p:q].tobytes().decode("utf-8", "replace"), bool(flags[r])
 
 
-def features_held(got: pa.Table) -> tuple[int, int, dict[str, list[int]]]:
-    """From the words of texts and hashes of what stands before them: the number of texts, in how many a feature must be,
-    and the texts of each feature that is in enough of them and beside several words."""
-    lists = got.column(0).combine_chunks()
-    n1 = len(lists)
-    least = max(2, n1 // 500)
-    text_of = np.repeat(np.arange(n1), np.diff(lists.offsets.to_numpy()))
-    encoded = lists.flatten().dictionary_encode()
-    codes, names_ = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
-    before = got.column(1).combine_chunks().flatten().to_numpy()
-    number: dict[str, int] = {}
-    own = [[number.setdefault(f, len(number)) for f in features(w)] for w in names_]
-    sizes = np.array([len(x) for x in own], np.int64)
-    flat, ends = np.array([f for x in own for f in x], np.int64), np.cumsum(sizes)
-    spread = np.repeat(np.arange(len(codes)), sizes[codes]) if len(codes) else np.zeros(0, np.int64)
-    inner = np.arange(len(spread)) - np.repeat(np.cumsum(sizes[codes]) - sizes[codes], sizes[codes]) if len(codes) else spread
-    feature = flat[(ends - sizes)[codes[spread]] + inner] if len(codes) else spread
-    in_texts = np.unique(feature * max(n1, 1) + text_of[spread])
-    times = np.bincount(in_texts // max(n1, 1), minlength=len(number))
-    neighbours = np.bincount(np.unique(np.stack([feature, before[spread]]), axis=1)[0], minlength=len(number)) if len(feature) else times
+def features_held(rows: DataFrame) -> tuple[int, int, dict[str, np.ndarray]]:
+    """From rows(feature, text, before), with a row of feature '' for each text: the number of texts, in how many a
+    feature must be, and the texts of each feature that is in enough of them and beside several words. Features are
+    counted by the tasks; only those that are beside several words come to the driver."""
+    times = F.size("texts")
+    held = rows.groupBy("feature").agg(F.collect_set("text").alias("texts"), F.size(F.collect_set("before")).alias("neighbours"))
     # a word of one text's near copies always stands beside the same words, one that people use does not
-    fine = (times >= least) & (neighbours >= np.maximum(2, np.minimum(5, times // 3)))
-    starts = np.searchsorted(in_texts, np.arange(len(number) + 1) * max(n1, 1))
-    return n1, least, {f: (in_texts[starts[k] : starts[k + 1]] % max(n1, 1)).tolist() for f, k in number.items() if fine[k]}
+    several = (times >= 2) & (F.col("neighbours") >= F.greatest(F.lit(2), F.least(F.lit(5), F.floor(times / 3))))
+    got = held.filter(several | (F.col("feature") == "")).select("feature", "texts").toArrow().combine_chunks()
+    names = got.column(0).to_pylist()
+    lists = got.column(1).combine_chunks()
+    ends, text = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+    at = {f: text[ends[k] : ends[k + 1]] for k, f in enumerate(names)}
+    known = np.sort(at.pop("", text[:0]))  # every text, so each gets its place among them as its number
+    least = max(2, len(known) // 500)
+    return len(known), least, {f: np.searchsorted(known, x).astype(np.int32) for f, x in at.items() if len(x) >= least}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost, n_toxic: int = 2000, n_clean: int = 6000, precision: float = 0.995, cover: int = 3, most_bytes: int = 1 << 17):
@@ -311,17 +304,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost, n_toxic: int =
 
     bc = sc.broadcast(cost)
 
-    def own_words(batches):
-        """The restored words of each text, and a hash of the token before each."""
+    def own_features(batches):
+        """The features of each text's restored words, with a digest of those words and a hash of the token before each;
+        a row without a feature for each text."""
         forget()
         r = Restorer(bc.value)
         for b in batches:
-            found = [sorted(r.in_order(t, s).items()) for _, t, s in texts(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([[w for w, _ in x] for x in found], pa.list_(pa.string())), pa.array([[zlib.crc32(y.encode()) for _, y in x] for x in found], pa.list_(pa.int64()))], names=["words", "before"])
+            for _, t, s in texts(b.column(0)):
+                found = [(w, zlib.crc32(y.encode())) for w, y in sorted(r.in_order(t, s).items())]
+                own = int.from_bytes(hashlib.blake2b(repr(found).encode(), digest_size=8).digest(), "big", signed=True)  # copies of one text count once
+                rows = [("", 0), *((f, y) for w, y in found for f in features(w))]
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in rows], pa.string()), pa.array(np.full(len(rows), own)), pa.array([y for _, y in rows], pa.int64())], names=["feature", "text", "before"])
 
-    got = sample(True, n_toxic).mapInArrow(own_words, "words array<string>, before array<bigint>").distinct().toArrow().combine_chunks()  # copies of one text count once
-    n1, least, holds = features_held(got)
-    del got
+    n1, least, holds = features_held(sample(True, n_toxic).mapInArrow(own_features, "feature string, text long, before long"))
     names = sc.broadcast(frozenset(holds))
 
     def clean_counts(batches):
@@ -357,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, cost, n_toxic: int =
     share = max(n1, 1) / max(n1 + n0, 1)
     surprise = lambda f, at: at * math.log(1 / share) + clean.get(f, 0) * math.log(1 / (1 - share) if share < 1 else 1) - entropy(at, clean.get(f, 0))
     needed = math.log(max(len(holds), 1)) + 1  # as many features are tried, so chance alone reaches about log(tries)
-    precise = {f: at for f, at in holds.items() if (not clean.get(f) or (x := rate(f, len(at)))[0] / sum(x) >= precision) and surprise(f, len(at)) >= needed}
+    precise = {f: at.tolist() for f, at in holds.items() if (not clean.get(f) or (x := rate(f, len(at)))[0] / sum(x) >= precision) and surprise(f, len(at)) >= needed}
     heap = [(-len(at), len(f), f) for f, at in precise.items()]
     heapq.heapify(heap)
     wanted, weights, stems = dict.fromkeys(range(n1), cover), {}, []  # features that each text may still ask for

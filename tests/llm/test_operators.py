@@ -322,6 +322,28 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100}
 
 
+def test_components_over_several_tasks(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 101), (None, 3)], "a long, b long")
+    for most in (1, 7):
+        got = {r.node: r.component for r in components(chain, most=most).collect()}
+        assert got == {**dict.fromkeys(range(1, 41), 1), 100: 100, 101: 100}
+    assert components(chain.limit(0)).count() == 0
+
+
+def test_few_links_take_few_jobs(spark):
+    """What the driver keeps of jobs and plans doesn't follow the length of a chain that a task can join."""
+    rng = random.Random(2)
+    names = rng.sample(range(10_000), 3000)
+    links = spark.createDataFrame([*itertools.pairwise(names)], "a long, b long")
+    spark.sparkContext.setJobGroup("links", "links")
+    try:
+        got = components(links)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("links")) <= 8
+    assert {tuple(r) for r in got.collect()} == {(x, min(names)) for x in names}
+
+
 def test_pieces_match_the_library():
     e, sp = pieces.Encoder(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     rng = random.Random(3)
@@ -512,6 +534,21 @@ def test_toxicity(spark, none):
     assert {r.score < 0.5 for r in toxicity.toxicity_scores(df, lab.limit(0), F.lit(True)).collect()} == {True}
 
 
+def test_words_of_one_text_stay_with_the_tasks(spark, monkeypatch):
+    """Of the labelled texts' words the driver gets those that a word list may use, however many others there are."""
+    rng = random.Random(9)
+    own = [["".join(rng.choices("bcdfglmnprst", k=9)) for _ in range(400)] for _ in range(60)]
+    rows = [(i, " ".join(x + (["idiot", x[0], "moron"] if i % 2 else []))) for i, x in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    cost, seen, plain = toxicity.character_model(docs), [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: seen.append(got := plain(df)) or got)
+    weights = toxicity.fit(docs, labels, F.lit(True), cost)[0]
+    assert any("idiot".startswith(f[1:]) for f in weights)
+    held = " ".join(str(t.column(0).to_pylist()) for t in seen)
+    assert "idiot" in held and not any(w in held for x in own for w in x)
+
+
 def test_restoring():
     import numpy as np
 
