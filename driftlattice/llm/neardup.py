@@ -244,6 +244,7 @@ def candidates(rows: DataFrame, packed: DataFrame, agree: float, chunk: int = 10
     rows = rows.join(packed, F.col("x") == F.col("node")).select("part", "x", "packed")
 
     def run(batches):
+        forget()
         for _, (ids, sigs) in groups(batches, 1):
             x = unpacked(sigs)
             same = np.zeros((len(ids), len(ids)), np.uint8)
@@ -296,6 +297,7 @@ def flagged(rows: DataFrame, agree: float) -> DataFrame:
     names = ["key", "lo", "hi", "band", "x", "own", "c", "packed"]
 
     def run(batches):
+        forget()
         for key, columns in groups(batches, 4):
             ids, own, comp = (np.array(c, np.int64) for c in columns[:3])
             hit = np.zeros(len(ids), bool)
@@ -396,6 +398,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, rows_per_k
     both = spread.join(one, "x").select("x", "l", "part", "tx").join(other.select("l", "part", "tl"), ["l", "part"]).select("x", "l", "tx", "tl")
 
     def run(batches):
+        forget()
         kept = (None, None, None)
         for b in batches:
             ls = b.column(1).to_pylist()

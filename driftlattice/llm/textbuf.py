@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -44,6 +45,7 @@ def chunks(column: pa.Array, most: int = 4 << 20):
 
 
 _KEPT: dict = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
 def kept(name, make):
@@ -56,7 +58,11 @@ def kept(name, make):
 
 
 def forget() -> None:
+    """Drops what `kept` holds and gives free memory back to the system, as workers outlive their tasks."""
     _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def row_of(positions: np.ndarray, offs: np.ndarray) -> np.ndarray:

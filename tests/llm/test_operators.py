@@ -808,6 +808,18 @@ def test_sainte_lague(spark):
         assert got == {k: won[k] for k in votes}
 
 
+def test_workers_give_memory_back():
+    import numpy as np
+
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096  # noqa: E731, SIM115
+    blocks = [np.ones(20_000, np.uint8) for _ in range(5000)]
+    last = blocks.pop()  # lies above the others
+    del blocks
+    before = resident()
+    textbuf.forget()
+    assert before - resident() > 50 << 20 and len(last)
+
+
 def test_temporary_tables(spark, tmp_path):
     import os
 
