@@ -87,6 +87,11 @@ def test_truncate(spark):
     assert all(r.cut == (None if r.t is None else r.t.encode()[:256].decode("utf-8", "ignore")) for r in rows)
 
 
+def test_times_after_the_year_9999(spark):
+    row = spark.range(1).select(scalars.epoch_iso(F.lit(253402300799)), scalars.epoch_iso(F.lit(253402300800)), scalars.epoch_iso(F.lit(6000000 * 86411)), scalars.utc_iso(F.lit("9999-12-31T23:30:00-02:00"))).head()
+    assert list(row) == ["9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "18399-07-14T21:20:00Z", "10000-01-01T01:30:00Z"]
+
+
 def test_path_order_of_hubs(spark):
     top = graph.top_hubs(nodes(spark, "a-b/x", "a/x"), edges(spark), 1).head()
     assert top.id == "a/x"
