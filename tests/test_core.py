@@ -3,7 +3,9 @@
 import datetime
 import json
 import subprocess
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,31 @@ def test_components_and_empty_graph(spark):
     assert {r.component for r in found} == {"n00", "z"}
 
 
+def test_components_by_rounds(spark):
+    """Links of a chain, a star and pairs, by rounds alone and by a task, beside ids that are no nodes."""
+    pairs = [(f"c{i}", f"c{(i * 7 + 7) % 29}") for i in range(28)] + [("s9", f"s{i}") for i in range(9)] + [("p0", "p1"), ("q0", "x"), ("x", "q1")]
+    ids = sorted({v for p in pairs for v in p} - {"x"}) + ["z"]
+    of = {v: v for p in pairs for v in p} | {"z": "z"}
+    for _ in pairs:
+        for a, b in pairs:
+            of[a] = of[b] = min(of[a], of[b])
+    for most in (0, 1 << 19):
+        assert {r.id: r.component for r in graph.weak_components(nodes(spark, *ids), edges(spark, *pairs), most).collect()} == {i: of[i] for i in ids}
+
+
+def test_back_edges_in_little_memory():
+    """A path of 100,000 nodes with links back from each to the two before it: the search is as deep as the path."""
+    n = 100_000
+    links = [(a, b) for a in range(n) for b in (a - 2, a - 1, a + 1) if 0 <= b < n]
+    s, t = (pa.array([x[k] for x in links], pa.int32()) for k in (0, 1))
+    batches = [pa.record_batch([pa.array([0] * len(s[k : k + 9999])), s[k : k + 9999], t[k : k + 9999]], names=["first", "s", "t"]) for k in range(0, len(s), 9999)]
+    tracemalloc.start()
+    (found,) = graph.count_cycles(iter(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [{"first": 0, "cycle_count": 2 * n - 3}] and peak < 100 * n
+
+
 def test_graph_queries_see_all_lines(spark, tmp_path):
     from driftlattice import queries
 
