@@ -5,6 +5,7 @@ import json
 import subprocess
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +221,42 @@ def test_leiden_quality(k, s, q):
     assert found == pytest.approx(q, rel=0.01) and abs(len(set(of)) - k) <= k / 10
 
 
+def test_leiden_takes_components_one_by_one(spark):
+    """Components are tasks of their own with the total weight of their graph; communities are numbered by first nodes."""
+    own = ring(5, 6)
+    links = [(f"{k}/{a}", f"{k}/{b}", w) for k in "xyz" for a in range(own.n) for b, w in own.near[a].items() if a < b]
+    ids = sorted({v for a, b, _ in links for v in (a, b)}) + ["zz"]
+    weighted = spark.createDataFrame(links, "source string, target string, weight double")
+    prior = spark.createDataFrame([(i, int(i.split("/")[1]) // 6) for i in ids if i != "zz"], "node string, community long")  # the same five in each
+    for given in (None, prior):
+        found = {r.node: r.community for r in L.leiden(nodes(spark, *ids), weighted, prior=given).collect()}
+        assert set(found) == set(ids) and list(dict.fromkeys(found[i] for i in ids)) == list(range(len(set(found.values()))))
+        assert len({(i.split("/")[0], c) for i, c in found.items()}) == len(set(found.values())) == 16
+    graphs = weighted.selectExpr("substr(source, 1, 1) AS g", "*")
+    of = {tuple(r)[:2]: r.community for r in L.leiden(graphs.selectExpr("g", "source AS id").union(graphs.selectExpr("g", "target")).distinct(), graphs, graph="g").collect()}
+    order = sorted(range(own.n), key=str)
+    alone = L.Leiden().run(L.Network(own.n, {(min(a, b), max(a, b)): w for a in range(own.n) for b, w in ((order.index(u), w) for u, w in own.near[order[a]].items())}))
+    assert all([of[k, f"{k}/{x}"] for x in order] == alone for k in "xyz")
+
+
+def test_a_network_is_flat(monkeypatch):
+    """A link takes a few bytes at each of its ends."""
+    monkeypatch.setattr(L, "LINKS_AT_ONCE", 1 << 14)
+    n, near = 20_000, 10
+    s = np.repeat(np.arange(n), near)
+    t = (s + np.tile(np.arange(1, near + 1), n)) % n
+    s, t = np.concatenate([s, t]), np.concatenate([t, s])
+    order = np.lexsort((t, s))
+    s, t = s[order].astype(np.int32), t[order].astype(np.int32)
+    head = pa.record_batch([pa.array([0]), pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([n * near * 1.0])], names=["component", "s", "t", "w"])
+    rest = [pa.record_batch([pa.array([0] * len(s[k : k + 9999])), pa.array(s[k : k + 9999]), pa.array(t[k : k + 9999]), pa.array([1.0] * len(s[k : k + 9999]))], names=["component", "s", "t", "w"]) for k in range(0, len(s), 9999)]
+    tracemalloc.start()
+    found = list(L.detected({"iterations": 1, "max_recursion_depth": 1})(iter([head, *rest])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x for b in found for x in b["number"].to_pylist()] == list(range(n)) and peak < 60 * len(s)
+
+
 def test_leiden_frames(spark):
     two = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "z"), ("z", "x")]
     found = {r.node: r.community for r in L.leiden(nodes(spark, *"abcxyz"), edges(spark, *two)).collect()}
