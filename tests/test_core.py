@@ -335,6 +335,18 @@ def test_git_log():
     assert git.parse_log(raw) == [("abc", "2026-01-01T00:00:00Z", ["a.rs", "b/c.rs"]), ("def", "2026-01-02T00:00:00Z", [])]
 
 
+def test_git_logs_in_little_memory():
+    """Logs of a batch are parsed some at a time: many texts, one of them null."""
+    log = "".join(f"COMMIT\0{k}\x002026-01-01T00:00:00Z\0\n" + "".join(f"./f{k}{i}\0" for i in range(20)) for k in range(20))
+    texts = pa.array([log, None] * 2000)
+    tracemalloc.start()
+    found = git.parsed_batch(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 4000 and found[1].as_py() == [] and found[3998].as_py()[19]["files"] == [f"f19{i}" for i in range(20)]
+    assert peak < 4 << 20
+
+
 def test_own_adapter(spark):
     from driftlattice.sources.files import routed
 
